@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,14 +85,46 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` (with a column doc_id) that have a label, with it as ``label``.
-
-    Repeated label rows of one document count once; where they differ the largest counts.
-    """
-    one = (
+def one_label(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and label. Repeated rows of a document count once; where they differ the largest counts."""
+    return (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("doc_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("label"))
     )
-    return docs.join(one, "doc_id")
+
+
+def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int, keep: Column, id_col: str = "doc_id") -> list[tuple[str, int]]:
+    """Texts and labels of at most ``per_label`` labelled documents of label 0 and of 1.
+
+    ``docs`` has doc_id and text; ``keep`` says on doc_id which rows may be learned from. The ids
+    are taken in the order of a hash, so the sample doesn't depend on partitions, and only the
+    ids of the sample are broadcast, never the labels.
+    """
+    one = one_label(labels, label_col, id_col).where(keep)
+    parts = [one.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for v in (0, 1)]
+    ids = {r["doc_id"]: r["label"] for p in parts for r in p.collect()}
+    if not ids:
+        return []
+    chosen = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": sorted(ids)}))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").collect()
+    by_id: dict[int, str] = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"])):
+        by_id.setdefault(r["doc_id"], r["text"])
+    return [(by_id[i], ids[i]) for i in sorted(by_id)]
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and values of the non-decreasing least-squares fit, by pooling adjacent violators."""
+    weight = np.ones(len(x)) if weight is None else weight
+    knots, at = np.unique(x, return_inverse=True)
+    w = np.bincount(at, weight)
+    mean = np.bincount(at, weight * y) / w
+    blocks: list[list[float]] = []
+    for m, v in zip(mean, w, strict=True):
+        blocks.append([m, v, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            m2, v2, n2 = blocks.pop()
+            m1, v1, n1 = blocks.pop()
+            blocks.append([(m1 * v1 + m2 * v2) / (v1 + v2), v1 + v2, n1 + n2])
+    return knots, np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.common import table
 from colloquy.llm.packing import best_fit_packing
 from colloquy.llm.token_counts import token_counts
+from colloquy.llm.toxicity import fit_toxicity, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +22,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op6_packing": op6_packing,
+        "op10_toxicity": op10_toxicity,
     }
 
 
