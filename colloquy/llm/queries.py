@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import table
+from colloquy.llm.language import fit_language, language
 from colloquy.llm.packing import best_fit_packing
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.toxicity import fit_toxicity, toxicity
@@ -18,6 +19,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, fit_language(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_language": op3_language,
         "op6_packing": op6_packing,
         "op10_toxicity": op10_toxicity,
     }
