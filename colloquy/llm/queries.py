@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import table
 from colloquy.llm.language import fit_language, language
+from colloquy.llm.ogg import ogg_media
 from colloquy.llm.packing import best_fit_packing
+from colloquy.llm.quality import score_quality
 from colloquy.llm.token_counts import token_counts
 from colloquy.llm.toxicity import fit_toxicity, toxicity
+from colloquy.llm.warc import warc_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +27,38 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(docs, fit_language(docs))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc_round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages
+), d AS (
+  SELECT page_id, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS original,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(sha, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d
+"""
+
+
+def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_media(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -37,10 +68,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_language": op3_language,
+        "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op8_warc": op8_warc,
+        "op9_ogg": op9_ogg,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": OP8_SQL}
