@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import table
+from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.language import fit_language, language
 from colloquy.llm.ogg import ogg_media
 from colloquy.llm.packing import best_fit_packing
@@ -22,6 +23,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language(docs, fit_language(docs))
@@ -67,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_decontamination": op2_decontamination,
         "op3_language": op3_language,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
