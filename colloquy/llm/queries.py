@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.common import table
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.language import fit_language, language
+from colloquy.llm.near_duplicates import near_duplicates
 from colloquy.llm.ogg import ogg_media
 from colloquy.llm.packing import best_fit_packing
 from colloquy.llm.quality import score_quality
@@ -32,6 +33,35 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(docs, fit_language(docs))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w
+), g AS (  -- equal sets are one node
+  SELECT min(doc_id) AS rep, list_sort(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY ALL
+), e AS (
+  SELECT rep, len(sh) AS n, unnest(sh) AS v FROM g
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.v = b.v AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(x, y) AS (
+  SELECT rep, rep FROM g UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a
+), c AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(c.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN g ON len(s.sh) > 0 AND g.sh = list_sort(s.sh) LEFT JOIN c ON c.x = g.rep
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +104,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
         "op3_language": op3_language,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
         "op8_warc": op8_warc,
@@ -83,4 +114,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL}
