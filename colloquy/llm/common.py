@@ -128,3 +128,16 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
             m1, v1, n1 = blocks.pop()
             blocks.append([(m1 * v1 + m2 * v2) / (v1 + v2), v1 + v2, n1 + n2])
     return knots, np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+
+
+def hash_sample(rows: DataFrame, n: int) -> list[str]:
+    """The texts of ``n`` documents of ``rows`` (doc_id, text), the first in the order of a hash of the id.
+
+    Only ids are ranked; the texts of the chosen ones follow by a join with those few ids.
+    """
+    ids = rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()
+    if not ids:
+        return []
+    chosen = rows.sparkSession.createDataFrame(pd.DataFrame({"doc_id": [r["doc_id"] for r in ids]}))
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["doc_id"])]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import held_out, id_text, map_batches
+from colloquy.llm.common import hash_sample, held_out, id_text, map_batches
 
 UNDETERMINED = "und"
 #: Stands before and after a text.
@@ -241,8 +241,7 @@ def fit_language(
     languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     sample: list[tuple[str, str]] = []
     for lang in languages:
-        few = rows.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_per_language)
-        sample += [(r["text"], lang) for r in few.select("text").collect()]
+        sample += [(text, lang) for text in hash_sample(rows.where(F.col("lang") == lang), sample_per_language)]
     return train(sample)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colloquy.llm.common import table
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.language import fit_language, language
+from colloquy.llm.lm_scoring import lm_scores
 from colloquy.llm.near_duplicates import near_duplicates
 from colloquy.llm.ogg import ogg_media
 from colloquy.llm.packing import best_fit_packing
@@ -70,6 +71,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc_round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -107,6 +112,7 @@ def queries() -> dict[str, Query]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_quality": op5_quality,
         "op6_packing": op6_packing,
+        "op7_lm_scores": op7_lm_scores,
         "op8_warc": op8_warc,
         "op9_ogg": op9_ogg,
         "op10_toxicity": op10_toxicity,
