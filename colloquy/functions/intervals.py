@@ -28,6 +28,11 @@ def ratio(part: Column, whole: Column, places: int = 4) -> Column:
     return F.when(whole > 0, F.round(part / whole, places)).otherwise(F.lit(0.0))
 
 
+def half_up(numerator: Column, denominator: Column) -> Column:
+    """The quotient of whole numbers, rounded half up in whole numbers."""
+    return F.call_function("div", numerator * 2 + denominator, denominator * 2)
+
+
 def islands(
     df: DataFrame,
     by: Sequence[str],

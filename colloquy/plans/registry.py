@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("conversation",)
+AREAS = ("conversation", "diarization")
 
 
 def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
