@@ -133,7 +133,8 @@ def item_blocks(items: DataFrame, rate: float, block_chars: int, id_col: str, te
     blocks = []
     for b in range(n):
         part = sorted((normal(r["text"]), r["doc_id"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect() if normal(r["text"]))
-        blocks.append(Items([i for _, i in part], [t for t, _ in part], rate))
+        if part:
+            blocks.append(Items([i for _, i in part], [t for t, _ in part], rate))
     return blocks
 
 
