@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.intervals import half_up
+
 #: Weights of a project score's parts, what a name match counts, and what training adds.
 PARTS = {"cal": 0.40, "party": 0.15, "tag": 0.30, "voice": 0.15}
 NAME_SCORES = {"cal": 0.4, "party": 0.0, "tag": 0.35, "voice": 0.0}
@@ -40,8 +42,10 @@ def routing_choice(scores: DataFrame, projects: DataFrame) -> DataFrame:
     w = Window.partitionBy("recording_id").orderBy(F.desc("score"), "name", "project_id")
     ranked = scores.join(projects.select(F.col("id").alias("project_id"), "name"), "project_id").withColumn("r", F.row_number().over(w)).where("r <= 2")
     best = ranked.groupBy("recording_id").agg(F.max(F.when(F.col("r") == 1, F.col("project_id"))).alias("project_id"), F.max("score").alias("score"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0)).alias("next_score"))
-    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.75 * F.col("score") + 0.25 * (F.col("score") - F.col("next_score"))))
-    rows = best.withColumn("confidence", F.when(F.col("score") > 0, F.round(sure, 4)))
+    # 0.75 of the score and 0.25 of the lead, in whole ten-thousandths
+    top, second = (F.round(F.col(c) * 10_000).cast("long") for c in ("score", "next_score"))
+    sure = half_up(F.greatest(F.lit(0), F.least(F.lit(40_000), top * 4 - second)), F.lit(4)) / 10_000
+    rows = best.withColumn("confidence", F.when(F.col("score") > 0, sure))
     return rows.select("recording_id", "project_id", "score", "confidence", (F.coalesce("confidence", F.lit(0.0)) >= AUTO_SELECT).alias("selected"))
 
 

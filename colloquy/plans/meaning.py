@@ -191,7 +191,7 @@ SELECT recording_id, speaker, count(*) AS terms, count(dom.term) AS domain_terms
   SELECT u.recording_id, project_id, round(sum(least(weight / 3.0::DOUBLE, 1.0)) / any_value(n), 4) AS m FROM u JOIN kw USING (token) JOIN z ON z.recording_id = u.recording_id WHERE weight > 0 GROUP BY 1, 2), p AS (
   SELECT recording_id, project_id, round(m * 0.30::DOUBLE / 0.30::DOUBLE, 4) AS score, row_number() OVER (PARTITION BY recording_id ORDER BY round(m * 0.30::DOUBLE / 0.30::DOUBLE, 4) DESC, n_name, project_id) AS r FROM s JOIN nation ON n_nationkey = project_id), q AS (
   SELECT recording_id, max(project_id) FILTER (r = 1) AS project_id, max(score) AS score, coalesce(max(score) FILTER (r = 2), 0.0) AS nx FROM p WHERE r <= 2 GROUP BY 1), c AS (
-  SELECT *, CASE WHEN score > 0 THEN round(greatest(0.0, least(1.0, 0.75::DOUBLE * score + 0.25::DOUBLE * (score - nx))), 4) END AS confidence FROM q) SELECT recording_id, project_id, score, confidence, coalesce(confidence, 0.0) >= 0.65 AS selected FROM c""",
+  SELECT *, CASE WHEN score > 0 THEN ((greatest(0, least(40000, 4 * round(score * 10000)::BIGINT - round(nx * 10000)::BIGINT)) * 2 + 4) // 8) / 10000::DOUBLE END AS confidence FROM q) SELECT recording_id, project_id, score, confidence, coalesce(confidence, 0.0) >= 0.65 AS selected FROM c""",
     ),
     "routing_training": (training_deltas, "WITH t AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id % 10 AS project_id, 'tag:' || event_type AS keyword, round(sum(0.8::DOUBLE), 4) AS weight FROM t GROUP BY 1, 2"),
     "glossary_merge": (glossary_merge, f"WITH {_GLOSS} SELECT * FROM mg"),
