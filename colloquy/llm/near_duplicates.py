@@ -10,9 +10,11 @@
 3. A list's members are not paired with each other but with its hub, the member with most in
    common with others. Hub pairs are filtered by the similarity that the sketches' union
    estimates, and confirmed on the full sets. Then members that already are in one component need
-   no more pairs. Members of different components in a list are paired with the next hubs of the
-   list that are in other components, until no untested pair of components meets in any list.
-4. Components of the links give each document its class.
+   no more pairs; a second round takes the lists that still hold several components.
+4. What then is left is worked off whole. Lists of up to SHORT_LIST members give all their pairs
+   of different components. Nodes of longer lists meet again by the prefix principle on their
+   full sets, where no margin for chance is needed, which leaves few pairs.
+5. Components of the links give each document its class.
 
 Sketch values are 64-bit hashes, as are the sets' own hashes. Defined results: null texts and
 texts without words have an empty set and are linked with nothing; repeated rows are in one class; a row
@@ -37,6 +39,8 @@ SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Words whose hash a worker remembers.
 REMEMBERED = 400_000
+#: Members up to which an inverted list simply gives its pairs: the pairs stay in proportion to the members.
+SHORT_LIST = 48
 #: Bits of the filter that keeps texts without candidates out of the second pass; 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -97,15 +101,37 @@ def shared_values(k: int, percent: int) -> Column:
     return F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(sampled)
 
 
-def rare_postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, node, n, central): each node in the lists of its rarest sketch values that others share."""
-    values = nodes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(shared, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
-    # values of this node alone come first in the order of rarity
-    prefix = F.col("size") - shared_values(k, percent) + 1 - (F.col("size") - F.size("held"))
+def rare_postings(values: DataFrame, size: Column, bound: Column) -> DataFrame:
+    """(v, node, n, place, central): each node in the lists of its rarest values that others share.
+
+    ``values`` has a row (node, n, v) for each value of a node; ``size`` is how many it has, and
+    ``bound`` how many it shares at least with a node that it is to meet. ``place`` is the value's
+    place among the node's values in the order of rarity; those of this node alone come first.
+    """
+    shared = values.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = values.join(shared, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"))
+    ranked = ranked.withColumn("alone", size - F.size("held"))
+    prefix = (size - bound + 1 - F.col("alone")).cast("int")
     central = F.aggregate("held", F.lit(0).cast("long"), lambda total, x: total + x["df"])
-    return ranked.where(prefix > 0).select("node", "n", central.alias("central"), F.explode(F.slice("held", F.lit(1), prefix.cast("int"))).alias("x")).select("x.v", "node", "n", "central")
+    rows = ranked.where(prefix > 0).select("node", "n", "alone", central.alias("central"), F.posexplode(F.slice("held", F.lit(1), prefix)).alias("k", "x"))
+    return rows.select("x.v", "node", "n", (F.col("alone") + F.col("k")).alias("place"), "central")
+
+
+def sketch_postings(nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    return rare_postings(nodes.select("node", "n", F.explode("sketch").alias("v")), F.least("n", F.lit(k)), shared_values(k, percent))
+
+
+def set_postings(sets: DataFrame, percent: int) -> DataFrame:
+    """As ``sketch_postings``, over full sets (node, hashes): nothing is left to chance here."""
+
+    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, hashes in zip(batch["node"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+                v = np.frombuffer(hashes, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), node)), pa.array(np.full(len(v), len(v))), pa.array(v)], ["node", "n", "v"])
+
+    rows = sets.select("node", "hashes").mapInArrow(values, "node long, n long, v long")
+    return rare_postings(rows, F.col("n"), F.ceil(F.col("n") * percent / 100))
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -118,13 +144,13 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def candidate_sets(rows: DataFrame, candidates: DataFrame, words: int) -> DataFrame:
-    """(node, n, sketch, hashes): the full sets of candidate nodes, from a second pass over their texts.
+def full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, hashes): the full sets of the wanted nodes (node, rep), from another pass over their texts.
 
-    ``candidates`` has node, rep, n and sketch. A fixed-size bitmap keeps most other texts out of the
-    shuffle; it only saves work, the join decides.
+    A fixed-size bitmap keeps most other texts out of the shuffle; it only saves work, the join
+    decides.
     """
-    bits = bitmap(candidates, "rep")
+    bits = bitmap(wanted, "rep")
 
     def some(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +163,8 @@ def candidate_sets(rows: DataFrame, candidates: DataFrame, words: int) -> DataFr
 
     place = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(FILTER_BITS)).alias("place")
     found = rows.select("doc_id", "text", place).mapInArrow(some, "rep long, node long, hashes binary")
-    same = (F.col("found.node") == F.col("c.node")) & F.col("found.rep").eqNullSafe(F.col("c.rep"))
-    joined = found.alias("found").join(candidates.alias("c"), same)
-    return joined.select("c.node", "c.n", "c.sketch", "found.hashes").dropDuplicates(["node"])
+    same = (F.col("found.node") == F.col("w.node")) & F.col("found.rep").eqNullSafe(F.col("w.rep"))
+    return found.alias("found").join(wanted.alias("w"), same, "left_semi").select("node", "hashes").dropDuplicates(["node"])
 
 
 def estimate(k: int) -> Column:
@@ -148,13 +173,17 @@ def estimate(k: int) -> Column:
     return F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b"))) / F.size(union)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are within the similarity."""
+def estimated(pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule the similarity out: five standard deviations below it."""
     chance = percent / 100
     least = chance - 5 * (chance * (1 - chance) / k) ** 0.5
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    near = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).where(estimate(k) >= least).select("a", "b")
+        pairs = pairs.join(sketched.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).where(estimate(k) >= least).select("a", "b")
+
+
+def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are within the similarity."""
     for side in ("a", "b"):
         near = near.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
 
@@ -173,33 +202,66 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def linked_nodes(postings: DataFrame, sets: DataFrame, k: int, percent: int, hub_rounds: int) -> DataFrame:
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """In each list, its most central member with those of other components."""
+    hubs = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", "node", "component")).alias("hub"))
+    met = members.join(hubs.where("low <> high").select("v", "hub"), "v").where(F.col("component") != F.col("hub.component"))
+    return ordered(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
+
+
+def open_lists(members: DataFrame) -> DataFrame:
+    """(v, m) of the lists that hold several components."""
+    return members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("v", "m")
+
+
+def remaining_pairs(rest: DataFrame, percent: int, size: Column | None = None, bound: Column | None = None) -> DataFrame:
+    """All pairs of different components in the lists of ``rest`` that places don't rule out.
+
+    From two values' places in the order of rarity follows how much two nodes may share at most:
+    of their full sets, or, with ``size`` and ``bound``, of their sketches.
+    """
+    rest = rest.withColumns({"ahead": (F.col("n") if size is None else size) - F.col("place"), "bound": F.lit(0) if bound is None else bound})
+    x, y = rest.alias("x"), rest.alias("y")
+    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    most = F.least("x.ahead", "y.ahead")
+    enough = most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent if bound is None else most >= F.least("x.bound", "y.bound")
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & near & enough)
+    return ordered(met.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
+
+
+def linked_nodes(rows: DataFrame, postings: DataFrame, sketched: DataFrame, words: int, k: int, percent: int, hub_rounds: int) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
-    links = tested = None
-    members = postings.withColumn("component", F.col("node"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return written(full_sets(rows, sketched.select("node", "rep").join(nodes.distinct(), "node", "left_semi"), words), "sets")
+
+    def with_components(lists: DataFrame) -> DataFrame:
+        if components is None:
+            return lists.withColumn("component", F.col("node"))
+        return lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    links = tested = components = None
     for turn in range(hub_rounds + 1):
-        open_lists = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", "node", "component")).alias("hub"))
-        open_lists = open_lists.where("low <> high")
-        if turn < hub_rounds:
-            # after the first turn, the hub is the most central member outside the component of the list's first hub
-            pairs = members.join(open_lists.select("v", "hub"), "v").where(F.col("component") != F.col("hub.component")).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
+        members = written(with_components(postings), "members")
+        if turn == hub_rounds:
+            several = written(open_lists(members), "open")
+            short = members.join(several.where(F.col("m") <= SHORT_LIST), "v", "left_semi")
+            sets = sets_of(members.join(several.where(F.col("m") > SHORT_LIST), "v", "left_semi").select("node"))
+            exact = written(with_components(set_postings(sets, percent)), "members")
+            pairs = remaining_pairs(exact.join(open_lists(exact), "v", "left_semi"), percent)
+            pairs = pairs.union(remaining_pairs(short, percent, F.least("n", F.lit(k)), shared_values(k, percent))).distinct()
         else:
-            rest = members.join(open_lists.select("v"), "v")
-            x, y = rest.alias("x"), rest.alias("y")
-            near = (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component"))
-            pairs = x.join(y, near & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
-        pairs = ordered(pairs)
+            pairs = hub_pairs(members)
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < hub_rounds:
-                continue
-            break
-        new = written(confirmed(pairs, sets, k, percent), "links")
-        links = new if links is None else links.union(new)
         tested = pairs if tested is None else tested.union(pairs)
+        near = written(estimated(pairs, sketched, k, percent), "near")
+        if near.isEmpty():
+            continue
+        sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")))
+        new = written(confirmed(near, sets, percent), "links")
+        links = new if links is None else links.union(new)
         components = written(connected_components(links), "components")
-        members = written(postings.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
-    if links is None:
+    if components is None:
         return postings.select("node", F.col("node").alias("component")).limit(0)
     return components
 
@@ -219,12 +281,11 @@ def near_duplicates(
     docs_sketched = written(sketches(rows, words, k), "sketches")
     nodes = docs_sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    postings = written(rare_postings(nodes, k, percent), "postings")
+    postings = written(sketch_postings(nodes, k, percent), "postings")
     several = postings.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
     postings = written(postings.join(several, "v"), "lists")
-    candidates = nodes.join(postings.select("node").distinct(), "node", "left_semi")
-    sets = written(candidate_sets(rows, candidates, words), "sets")
-    components = linked_nodes(postings, sets, k, percent, hub_rounds)
+    sketched = written(nodes.join(postings.select("node").distinct(), "node", "left_semi"), "candidates")
+    components = linked_nodes(rows, postings, sketched, words, k, percent, hub_rounds)
     named = nodes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = named.join(names, "component").select("node", "component_id")
