@@ -44,7 +44,7 @@ def test_turns_merge_within_a_gap_of_one_speaker(spark):
     assert [(r["speaker"], r["end_ms"], r["text"]) for r in got] == [("S1", 2000, "a b"), ("S2", 3000, "c"), ("S1", 4000, "d")]
 
 
-def test_interruptions_of_the_reference_case(spark):
+def test_interruptions_of_a_literal_case(spark):
     got = turns.interruptions(segs(spark, [(0, 5000, "S1", ""), (4600, 6000, "S2", ""), (5800, 7000, "S3", ""), (6500, 8000, "S1", "")])).collect()
     assert {r["speaker"]: (r["interruptions_done"], r["interruptions_received"]) for r in got} == {"S1": (1, 1), "S2": (1, 0), "S3": (0, 1)}
 
