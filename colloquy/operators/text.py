@@ -220,7 +220,8 @@ def glossary_fit(merged: DataFrame, **budgets: int) -> DataFrame:
 def first_wins(df: DataFrame, by: list[str], text: str, order: list[str], *, limit: int | None = None) -> DataFrame:
     """Of texts equal but for case and white space, the first of each group; at most ``limit`` of them."""
     key = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    first = df.withColumn("_key", key).where("_key <> ''").groupBy(*by, "_key").agg(F.min_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(*order)).alias("_row"))
+    # a digest stands for the text, lest every text is shuffled twice
+    first = df.withColumn("_key", key).where("_key <> ''").withColumn("_key", F.sha2("_key", 256)).groupBy(*by, "_key").agg(F.min_by(F.struct(*[c for c in df.columns if c not in by]), F.struct(*order)).alias("_row"))
     rows = first.select(*by, "_row.*")
     if limit is None:
         return rows

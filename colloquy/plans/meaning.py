@@ -19,11 +19,17 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of equal texts in a source, the one with the least id."""
+    """Of texts in a source with equal openings, up to the first full stop, the one with the least id."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index("text", ".", 1).alias("opening"))
     return text.first_wins(docs, ["source"], "opening", ["doc_id"])
 
 
+def first_wins_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal whole texts in a source, the one with the least id."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return text.first_wins(docs, ["source"], "text", ["doc_id"])
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.json_object(F.concat(F.lit("answer: "), "props", F.lit(" end")))
     rows = table(spark, sf_dir, "events").select("event_type", F.get_json_object(found, "$.k").cast("long").alias("k"))
@@ -162,6 +168,10 @@ QUERIES = {
         first_wins_dedup,
         "WITH d AS (SELECT source, doc_id, split_part(text, '.', 1) AS opening FROM documents), k AS (SELECT *, lower(trim(regexp_replace(opening, '\\s+', ' ', 'g'))) AS key FROM d) SELECT source, doc_id, opening FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1",
     ),
+    "first_wins_texts": (
+        first_wins_texts,
+        "SELECT source, doc_id, text FROM (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1",
+    ),
     "json_props_extract": (json_props, "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, count(DISTINCT k) AS kinds FROM (SELECT event_type, (props->>'$.k')::BIGINT AS k FROM events) GROUP BY 1"),
     "terminology_density": (
         turn_terms,

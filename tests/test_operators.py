@@ -104,6 +104,15 @@ def test_one_to_one_assignment_equals_brute_force(spark):
         assert len({x["voice_profile_id"] for x in mine}) == len(mine)
 
 
+def test_texts_with_one_opening_are_not_copies(spark, tmp_path):
+    from colloquy.plans.registry import queries
+
+    rows = [(3, "Same start. One end.", "s"), (1, "Same start. Another end.", "s"), (2, "same  START. one end.", "s"), (4, "Same start. One end.", "t"), (5, " ", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["first_wins_texts"](spark, str(tmp_path)).collect()
+    assert sorted((r["source"], r["doc_id"]) for r in got) == [("s", 1), ("s", 2), ("t", 4)]
+
+
 def test_repeated_sentences_go():
     assert text.without_repeats("hello hello hello") == "hello"
     assert text.without_repeats("hi") == ""
