@@ -381,3 +381,44 @@ def test_lm_base_and_gain(docs, odd):
 
 def test_lm_of_nothing(none):
     assert lm_scoring.lm_scores(none).count() == 0
+
+
+def test_lm_learns_from_all_training_documents(spark):
+    path = subwords.default_path()
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(["one", "two", "antidisestablishment", "four"], k=n)), False) for k, n in enumerate([0, 63, 64, 65, 9000, 3000])]
+    ids = lm_scoring.WordIds(path)
+    counts = np.bincount(np.concatenate([ids.of(words_by_hand(t)) for _, t, _ in rows]), minlength=ids.bpe.size + 1).astype(float)
+    vocabulary = attention.Vocabulary.of(counts)
+    targets = []
+    for n in (1, 2):
+        df = spark.createDataFrame([(k + 10 * c, t, h) for c in range(n) for k, t, h in rows] + [(99, "held out", True)], "doc_id long, text string, held_out boolean")
+        blocks = lm_scoring.in_blocks(df, 50_000)
+        for share in (1.0, 0.25):
+            found = [np.frombuffer(r["windows"], "<i2").reshape(-1, attention.CONTEXT + attention.CORE + 1) for r in lm_scoring.drawn_windows(blocks, vocabulary, path, share, 3).collect()]
+            y = np.concatenate(found)[:, attention.CONTEXT + 1 :]
+            if share == 1:
+                assert np.array_equal(np.bincount(y[y >= 0]), n * np.bincount(vocabulary.row, counts)[: y.max() + 1].astype(int))
+            else:
+                targets.append((y >= 0).sum() / (n * counts.sum()))
+    assert all(0.15 < t < 0.35 for t in targets)
+
+
+def test_runs_have_their_texts_context():
+    ids, words = lm_scoring.WordIds(subwords.default_path()), [b"w%d" % k for k in range(200)]
+    row = np.arange(ids.bpe.size + 1)
+    first, second = lm_scoring.run_windows(ids, row, -1, words, [0, 1])
+    whole = ids.of(words)
+    start = len(ids.of(words[:64])) - 1
+    assert list(second[0][: attention.CONTEXT + 1]) == list((whole[start - attention.CONTEXT - 1 : start]).astype(np.int16))
+    assert (first[0][: attention.CONTEXT + 1] == -1).all()
+
+
+def test_rare_ids_have_several_classes():
+    counts = np.sort(np.random.default_rng(0).zipf(1.3, 4000).clip(max=10**6))[::-1].astype(float)
+    vocabulary = attention.Vocabulary.of(counts)
+    rare = vocabulary.row[attention.CLASSES * attention.MEMBERS :]
+    assert len(set(rare)) > 8 and (np.diff(rare) >= 0).all() and vocabulary.rare == rare.max()
+    model = attention.Attention.new(np.bincount(vocabulary.row, counts, minlength=vocabulary.rare + 1))
+    both = attention.log10_probabilities(model, vocabulary, [np.array([3999, k]) for k in range(4000)])
+    assert (10 ** (both - attention.log10_probabilities(model, vocabulary, [np.array([3999])]))).sum() == pytest.approx(1, abs=1e-3)
