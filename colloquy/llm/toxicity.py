@@ -8,10 +8,11 @@ that the toxic dictionary saves, for windows that the toxic dictionary reproduce
 cost it no more than a match of the carrier does); all others have gap 0.
 
 A dictionary's content is made of its class's words, the best last, where offsets are short. The
-toxic one takes words by document frequency times log-ratio against the other class, the ordinary
-one takes the most frequent words that the toxic one hasn't. (The library's own trainer takes the
+toxic one takes all words that are clearly more frequent in it than in the other class, by document
+frequency times log-ratio, and is as long as they are; the ordinary one takes the most frequent words that the toxic one hasn't. (The library's own trainer takes the
 most frequent segments alone; toxic words are far too rare for it to see them.) Training documents
-with the same least word hash count as one, lest a family of near copies fills a dictionary.
+of a label whose word sets have a Jaccard of ``COPY`` or more count as one, lest a family of near
+copies fills a dictionary; ``BANDS`` of minima find such pairs, and the sets themselves decide.
 
 The gap that counts as a hit is the one of a grid that separates the training documents best.
 A document's statistic is its number of hits plus its largest gap, and an isotonic fit turns it
@@ -46,6 +47,10 @@ BLANKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuat
 GRID = (0.3, 0.4, 0.5, 0.6, 0.7)
 #: Bytes by which a wholly matched window may cost more than the carrier alone.
 WHOLE = 4
+#: Of near copies: the least Jaccard of word sets, and how many bands of two minima each look for them.
+COPY, BANDS = 0.8, 8
+#: How likely any ordinary word at all is to be taken for a toxic one.
+LEVEL = 0.05
 #: Words that a worker remembers the gaps of.
 REMEMBERED = 500_000
 
@@ -65,8 +70,9 @@ def dictionary(words: list[bytes]) -> bytes:
 
 @functools.lru_cache(maxsize=4)
 def compressor(content: bytes) -> zstd.ZstdCompressor:
+    wide_enough = max(15, len(content).bit_length() + 1)
     params = zstd.ZstdCompressionParameters(
-        window_log=15, strategy=zstd.STRATEGY_GREEDY, min_match=6, search_log=3, target_length=16, chain_log=12, hash_log=12,
+        window_log=wide_enough, strategy=zstd.STRATEGY_GREEDY, min_match=6, search_log=6, target_length=16, chain_log=wide_enough - 3, hash_log=wide_enough - 3,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS,
     )
     held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -127,14 +133,24 @@ class Model:
         return np.clip(np.interp(stats, self.knots, self.values), 0.0, 1.0)
 
 
-def pick(own: Counter, n_own: int, other: Counter, n_other: int, size: int, ratio: float, least: int) -> list[bytes]:
-    """Words of one class by document frequency times log-ratio, as many as fit into ``size`` characters."""
-    worth = {}
+def gain(k: int, n: int, k_all: int, n_all: int) -> float:
+    """How much likelier k of n is at its own rate than at that of k_all of n_all, as a logarithm."""
+    part = lambda a, b: a * math.log(a / (n * b / n_all)) if a else 0.0
+    return part(k, k_all) + part(n - k, n_all - k_all)
+
+
+def pick(own: Counter, n_own: int, other: Counter, n_other: int, ratio: float, least: int) -> list[bytes]:
+    """All words of one class that pass ``ratio``, ``least`` and a test, by document frequency times log-ratio.
+
+    The test is the likelihood ratio of the word's two frequencies, its level ``LEVEL`` divided by the
+    number of words: among thousands of rare words, hundreds pass ratio and count by chance.
+    """
+    worth, n_all, clear = {}, n_own + n_other, math.log(max(1, len(own)) / LEVEL)
     for word, n in own.items():
         r = ((n + 0.5) / (n_own + 1)) / ((other[word] + 0.5) / (n_other + 1))
-        if n >= least and r >= ratio:
+        if n >= least and r >= ratio and gain(n, n_own, n + other[word], n_all) + gain(other[word], n_other, n + other[word], n_all) >= clear:
             worth[word] = n * math.log(r)
-    return fit(sorted(worth, key=lambda w: (-worth[w], w)), size)
+    return sorted(worth, key=lambda w: (-worth[w], w))
 
 
 def fit(words: list[bytes], size: int) -> list[bytes]:
@@ -142,17 +158,37 @@ def fit(words: list[bytes], size: int) -> list[bytes]:
     return words[: int(np.searchsorted(total, size, "right"))]
 
 
-def train(sample: list[tuple[str, int]], toxic_chars: int = 400, ordinary_chars: int = 4096) -> Model:
+def copy_families(sample: list[tuple[str, int]]) -> list[tuple[int, set[bytes], int]]:
+    """Label, words and size of each family: documents of a label whose words are nearly those of its first."""
+    salts = np.random.default_rng(11).integers(0, 2**31, 2 * BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
+    families: list[tuple[int, set[bytes], int]] = []
+    firsts: list[frozenset] = []
+    buckets: dict[tuple, list[int]] = {}
+    for text, label in sample:
+        words = frozenset(windows(text))
+        code = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        least = [int((code * s).min()) if len(code) else 0 for s in salts]
+        keys = [(label, k, *least[2 * k : 2 * k + 2]) for k in range(BANDS)]
+        like = sorted({f for key in keys for f in buckets.get(key, ())})
+        at = next((f for f in like if len(firsts[f] & words) >= COPY * len(firsts[f] | words)), None)
+        if at is None:
+            at = len(families)
+            families.append((label, set(), 0))
+            firsts.append(words)
+            for key in keys:
+                buckets.setdefault(key, []).append(at)
+        families[at] = (label, families[at][1] | words, families[at][2] + 1)
+    return families
+
+
+def train(sample: list[tuple[str, int]], ordinary_chars: int = 4096) -> Model:
     """Dictionaries, hit threshold and calibration from labelled texts."""
     seen = {0: Counter(), 1: Counter()}
-    families: dict[tuple[int, int], set[bytes]] = {}
-    for text, label in sample:
-        words = set(windows(text))
-        families.setdefault((label, min(map(zlib.crc32, words), default=0)), set()).update(words)
-    for (label, _), words in families.items():
+    families = copy_families(sample)
+    for label, words, _ in families:
         seen[label].update(words)
-    size = Counter(label for label, _ in families)
-    toxic = pick(seen[1], size[1], seen[0], size[0], toxic_chars, ratio=4.0, least=3) if size[0] and size[1] else []
+    size = Counter(label for label, _, _ in families)
+    toxic = pick(seen[1], size[1], seen[0], size[0], ratio=4.0, least=3) if size[0] and size[1] else []
     common = sorted(set(seen[0]) - set(toxic), key=lambda w: (-seen[0][w], w))
     gaps = Gaps(dictionary(toxic), dictionary(fit(common, ordinary_chars)))
     labels = np.array([label for _, label in sample], float)

@@ -126,6 +126,28 @@ def test_toxicity_catches_words_and_leaves_the_rest(spark):
     assert (got["predicted"] == got["doc_id"] % 2).mean() > 0.97 and got["score"].between(0, 1).all()
 
 
+def test_toxicity_folds_copies_alone():
+    """Documents that share one frequent word of least hash are no copies; those with nearly the same words are."""
+    rng = random.Random(4)
+    words = ["w%d" % k for k in range(5000)]
+    low = min(words, key=lambda w: zlib.crc32(w.encode()))
+    apart = [(" ".join([low, *rng.sample(words, 30)]), 1) for _ in range(60)]
+    assert len(toxicity.copy_families(apart)) == 60
+    near = [(f"{apart[0][0]} more{k}", 1) for k in range(5)]
+    assert len(toxicity.copy_families([*apart, *near, (apart[0][0], 0)])) == 61
+
+
+def test_toxicity_keeps_every_toxic_word():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(5))
+    plain, bad = [word("bcdfgl") for _ in range(400)], [word("mnprstvz") for _ in range(200)]
+    sample = [(" ".join([*rng.sample(plain, 30), *(rng.sample(bad, 20) if k % 2 else [])]), k % 2) for k in range(800)]
+    gaps = toxicity.train(sample).gaps
+    assert all(toxicity.wide([w.encode()]) in gaps.toxic for w in bad)
+    found = gaps.scorer()
+    assert sum(len(found(w)) > 0 for w in bad) >= 180 and not any(len(found(w)) for w in plain)
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 1), (4, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     for df in (odd, none):
