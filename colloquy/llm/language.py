@@ -9,7 +9,8 @@ its chunk, so every position is labelled once, by states that have read its surr
 chunks of all lengths of text run side by side in one batch. The squashing functions are
 x / (1 + |x|) and half of that plus a half, which cost a fraction of tanh and the logistic curve.
 
-Learned from at most ``sample_per_language`` documents of each language outside the held-out fold.
+Learned from at most ``sample_per_language`` documents of each labelled language outside the held-out
+fold; of a text over ``sample_chars`` characters one window of that length is taken, placed by a hash.
 Defined results: null texts and those without a letter are ``und`` with score 0; so is everything
 if there is nothing to learn from; a null id is held out; repeated rows are labelled each; other
 columns are ignored.
@@ -21,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import hash_sample, held_out, id_text, map_batches
+from colloquy.llm.common import held_out, id_text, map_batches
 
 UNDETERMINED = "und"
 #: Stands before and after a text.
@@ -172,13 +173,17 @@ def train(
     length: int = 64,
     context: int = 16,
     batch: int = 128,
-    steps: int = 260,
+    steps: int | None = None,
     rate: float = 0.02,
     seed: int = 7,
 ) -> Network:
-    """Fit on windows of labelled texts by backpropagation through time, with Adam."""
+    """Fit on windows of labelled texts by backpropagation through time, with Adam.
+
+    A language has about as many windows however many there are: 260 steps up to eight languages, then in proportion.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in sample})
+    steps = steps or 260 * max(8, len(languages)) // 8
     texts = [[t.encode() for t, lang in sample if lang == name and t] for name in languages]
     net = Network(languages, Direction.new(rng, hidden), Direction.new(rng, hidden), (rng.standard_normal((2 * hidden, len(languages))) * 0.1).astype(FLOAT), np.zeros(len(languages), FLOAT))
     if len(languages) < 2 or not all(texts):
@@ -233,15 +238,20 @@ def fit_language(
     held: int = 1,
     sample_per_language: int = 400,
     sample_chars: int = 20_000,
-    max_languages: int = 64,
 ) -> Network:
-    """Fit on a bounded sample: some documents of each of the most frequent languages."""
+    """Fit on a bounded sample: some documents of every language that is labelled."""
     rows = id_text(docs, id_col, text_col, lang_col).withColumnRenamed(lang_col, "lang")
-    rows = rows.where(F.col("lang").isNotNull() & ~held_out("doc_id", folds, held) & (F.length("text").between(1, sample_chars)))
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    sample: list[tuple[str, str]] = []
-    for lang in languages:
-        sample += [(text, lang) for text in hash_sample(rows.where(F.col("lang") == lang), sample_per_language)]
+    rows = rows.where(F.col("lang").isNotNull() & ~held_out("doc_id", folds, held) & (F.length("text") > 0))
+    rank = F.row_number().over(Window.partitionBy("lang", "part").orderBy("h", "doc_id"))
+    ids = rows.select("lang", "doc_id").distinct().withColumns({"h": F.xxhash64("doc_id"), "part": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))})
+    # first within 64 parts, so that no task ranks all of one language
+    few = ids.withColumn("r", rank).where(F.col("r") <= sample_per_language)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = few.withColumn("r", rank).where(F.col("r") <= sample_per_language).select("lang", "doc_id")
+    start = F.when(F.length("text") > sample_chars, F.pmod(F.xxhash64("text"), F.length("text") - sample_chars + 1)).otherwise(0)
+    window = F.substring("text", (start + 1).cast("int"), F.lit(sample_chars))
+    found = rows.join(chosen, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min(window).alias("text")).collect()
+    sample = [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"]))]
     return train(sample)
 
 
@@ -279,12 +289,15 @@ def language(
     return map_batches(rows, label, "doc_id long, held_out boolean, lang_pred string, score double", rows=512)
 
 
-def drop_undetermined(docs: DataFrame, network: Network, *, text_col: str = "text", least: float = 0.35, core: int = 256, context: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, with a language that has a score of ``least`` or more."""
+def drop_undetermined(docs: DataFrame, network: Network, *, text_col: str = "text", core: int = 256, context: int = 16) -> DataFrame:
+    """The rows of ``docs``, all columns, with a language: only texts without a letter, or a network without languages, go.
+
+    A mean probability says how many languages are alike, not whether a text is in one, so no score is too low.
+    """
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, score = predict(network, batch[text_col].to_pylist(), core, context)
-        return batch.filter(pa.array((np.array(names, object) != UNDETERMINED) & (score >= least)))
+        names, _ = predict(network, batch[text_col].to_pylist(), core, context)
+        return batch.filter(pa.array(np.array(names, object) != UNDETERMINED))
 
     return map_batches(docs, keep, docs.schema, rows=512)
 

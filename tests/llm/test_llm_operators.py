@@ -168,6 +168,24 @@ def test_language_is_learned(spark):
     assert list(got["held_out"]) == [fold(i, 3) == 1 for i in got["doc_id"]]
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    """Also the 65th, and one that is labelled in long texts alone; and no labelled text is rejected for its score."""
+    rows = [(3 * k + j, f"text {k}", f"l{k:02}") for k in range(70) for j in range(3)] + [(1000 + k, "zaq " * 6000, "long") for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "train", lambda sample: sample)
+    sample = language.fit_language(df)
+    free = {lang for i, _, lang in rows if fold(i, 3) != 1}
+    assert {lang for _, lang in sample} == free and len(free) > 64 and "long" in free
+    assert all(len(t) == 20_000 for t, lang in sample if lang == "long")
+
+
+def test_low_scores_are_not_rejected(spark):
+    rng = np.random.default_rng(0)
+    net = language.Network(["a", "b", "c", "d", "e"], language.Direction.new(rng, 8), language.Direction.new(rng, 8), np.zeros((16, 5), np.float32), np.zeros(5, np.float32))
+    df = spark.createDataFrame([(1, "some text"), (2, "123"), (3, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in language.drop_undetermined(df, net).collect()] == [1]
+
+
 def test_gradients_through_time_are_right():
     rng = np.random.default_rng(0)
     d = language.Direction.new(rng, 3)
