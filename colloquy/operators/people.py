@@ -86,6 +86,20 @@ def best_candidates(samples: DataFrame, vectors: DataFrame, *, keep: int = 3, ve
     return scored.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= keep).select("sample_id", "voice_profile_id", "position", F.col("k.candidate").alias("candidate"), (-F.col("k.rank")).alias("score"))
 
 
+def all_candidates(samples: DataFrame, vectors: DataFrame, *, least: float, vector: str = "embedding", block: int = 256) -> DataFrame:
+    """Every profile whose rounded score with a sample is ``least`` or more, however many there are.
+
+    Profiles are gathered in blocks by a hash of about ``block`` of them, so that what the join deals
+    out for each sample is a row a block and only pairs that reach ``least`` are made.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    known = vectors.groupBy(F.pmod(F.xxhash64("voice_profile_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct(F.col("voice_profile_id").alias("candidate"), "centroid")).alias("known"))
+    rows = samples.select("sample_id", "voice_profile_id", F.col(vector).alias("v")).crossJoin(known)
+    scored = F.transform("known", lambda k: F.struct(k["candidate"].alias("candidate"), F.round(cosine(F.col("v"), k["centroid"]), 4).alias("score")))
+    near = F.filter(scored, lambda x: x["score"] >= least)
+    return rows.select("sample_id", "voice_profile_id", F.explode(near).alias("x")).select("sample_id", "voice_profile_id", "x.candidate", "x.score")
+
+
 def duplicate_profiles(candidates: DataFrame, *, least: float = 0.0) -> DataFrame:
     """Pairs (source, target): samples of one profile that resemble another, each sample once."""
     rows = candidates.where((F.col("voice_profile_id") != F.col("candidate")) & (F.col("score") >= least))

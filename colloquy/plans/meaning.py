@@ -84,6 +84,11 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.best_candidates(samples, people.centroids(samples))
 
 
+def _eligible(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
+    samples = voice_samples(spark, sf_dir)
+    return people.all_candidates(samples, people.centroids(samples), least=least)
+
+
 def candidate_best_per_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir).select("sample_id", "position", "candidate", "score")
 
@@ -98,7 +103,9 @@ def samples_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assign_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten samples are a recording, each a speaker."""
-    rows = _nearest(spark, sf_dir)
+    # a score below ``least`` is needed only as the best of a speaker without any profile
+    near = _nearest(spark, sf_dir).where("position = 1").select("sample_id", "voice_profile_id", "candidate", "score")
+    rows = _eligible(spark, sf_dir, 0.2).unionByName(near)
     recording = F.floor(F.col("sample_id") / 10).cast("string").alias("recording_id")
     speaker = F.concat(F.lit("S"), (F.col("sample_id") % 10).cast("string")).alias("speaker")
     return people.assign_one_to_one(rows.select(recording, speaker, F.col("candidate").alias("voice_profile_id"), "score"), least=0.2)

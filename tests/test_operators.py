@@ -113,6 +113,17 @@ def test_texts_with_one_opening_are_not_copies(spark, tmp_path):
     assert sorted((r["source"], r["doc_id"]) for r in got) == [("s", 1), ("s", 2), ("t", 4)]
 
 
+def test_assignment_sees_more_than_three_profiles(spark):
+    """Four speakers with the same three best profiles: the fourth gets its fourth."""
+    known = spark.createDataFrame([(k, [1.0, 0.1 * k]) for k in range(6)] + [(6, [-1.0, 0.0])], "voice_profile_id long, centroid array<double>")
+    samples = spark.createDataFrame([(k, k, [1.0, 0.0]) for k in range(4)], "sample_id long, voice_profile_id long, embedding array<double>")
+    rows = people.all_candidates(samples, known, least=0.2, block=2)
+    assert sorted((r["sample_id"], r["candidate"]) for r in rows.collect()) == [(s, k) for s in range(4) for k in range(6)]
+    named = rows.select(F.lit("r").alias("recording_id"), F.concat(F.lit("S"), "sample_id").alias("speaker"), F.col("candidate").alias("voice_profile_id"), "score")
+    got = people.assign_one_to_one(named, least=0.2).collect()
+    assert sorted(r["voice_profile_id"] for r in got) == [0, 1, 2, 3]
+
+
 def test_repeated_sentences_go():
     assert text.without_repeats("hello hello hello") == "hello"
     assert text.without_repeats("hi") == ""
