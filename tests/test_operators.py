@@ -205,3 +205,13 @@ def test_empty_tables(spark):
     none = segs(spark, [(0, 1, "S1", "x")]).where("false")
     for df in (turns.merged_blocks(none), turns.interruptions(none), diarization.profile_metrics(none), diarization.relabel_flicker(none), language.spans(none.withColumn("language", F.lit("en")))):
         assert df.count() == 0
+
+
+def test_all_projects_take_part_in_routing(spark, monkeypatch):
+    from colloquy.plans import meaning
+    from tests.conftest import SF
+
+    seen = []
+    monkeypatch.setattr(people, "routing_choice", lambda scores, named: seen.append(named.count()))
+    meaning.routing_scores(spark, SF)
+    assert seen == [spark.read.parquet(f"{SF}/nation.parquet").count()]
