@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a new temporary folder stands in for it.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, a new temporary folder stands in for it.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_shared:
         _own_shared[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -50,7 +52,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete what ``written`` has left of these tables. Whatever is made of them must itself be written by now."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold_of(id_col: str, folds: int) -> Column:

@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import written
+from colloquy.llm.common import drop_written, written
+
+#: Parts into which the edges of a node are dealt where they meet the node's least neighbour, lest a large star is one task.
+SALTS = 8
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the value ``m`` of their ``u``; the edges of one ``u`` lie in SALTS parts."""
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(dealt, ["u", "salt"]).drop("salt")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``links`` that has a link; a component is its least node.
 
@@ -25,10 +34,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while before[0]:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.union(least).distinct(), "edges")
+        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        previous, edges = edges, written(small.union(least).distinct(), "edges")
+        drop_written(previous)
         after = _fingerprint(edges)
         if after == before:
             break

@@ -7,13 +7,14 @@
    sets that their sketches hold whole, certainly), so by the prefix principle they meet in a list
    of one of their rarest values. Only the lists of those are made; values that half of all
    documents retain thus never generate anything.
-3. A list's members are not paired with each other but with its hub, the member with most in
-   common with others. Hub pairs are filtered by the similarity that the sketches' union
-   estimates, and confirmed on the full sets. Then members that already are in one component need
-   no more pairs; a second round takes the lists that still hold several components.
+3. A list's members are not paired with each other but with hubs of like size, those with most in
+   common with others: first one hub for each class of sizes in every list, then HUBS of them in lists
+   of more than SHORT_LIST members that still hold several components. Pairs are filtered by size, by
+   the similarity that the sketches' union estimates, and confirmed on the full sets.
 4. What then is left is worked off whole. Lists of up to SHORT_LIST members give all their pairs
-   of different components. Nodes of longer lists meet again by the prefix principle on their
-   full sets, where no margin for chance is needed, which leaves few pairs.
+   of different components that size and places allow; these rest on the sketches' bound of five
+   standard deviations. Nodes of longer lists meet again by the prefix principle on their full sets,
+   which is exact and leaves few pairs.
 5. Components of the links give each document its class.
 
 Sketch values are 64-bit hashes, as are the sets' own hashes. Defined results: null texts and
@@ -29,10 +30,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import id_text, map_batches, written
+from colloquy.llm.common import drop_written, id_text, map_batches, written
 from colloquy.llm.components import connected_components
 
 SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
@@ -41,6 +42,8 @@ MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REMEMBERED = 400_000
 #: Members up to which an inverted list simply gives its pairs: the pairs stay in proportion to the members.
 SHORT_LIST = 48
+#: Hubs of each class of sizes in a longer list, in the second round.
+HUBS = 16
 #: Bits of the filter that keeps texts without candidates out of the second pass; 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -178,8 +181,8 @@ def estimated(pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> Da
     chance = percent / 100
     least = chance - 5 * (chance * (1 - chance) / k) ** 0.5
     for side in ("a", "b"):
-        pairs = pairs.join(sketched.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).where(estimate(k) >= least).select("a", "b")
+        pairs = pairs.join(sketched.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.where(estimate(k) >= least).select("a", "b")
 
 
 def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,65 +205,89 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """In each list, its most central member with those of other components."""
-    hubs = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("central", "node", "component")).alias("hub"))
-    met = members.join(hubs.where("low <> high").select("v", "hub"), "v").where(F.col("component") != F.col("hub.component"))
-    return ordered(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
+def like_sizes(x: Column, y: Column, percent: int) -> Column:
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
+def with_components(lists: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return lists.withColumn("component", F.col("node"))
+    return lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def open_members(lists: DataFrame, components: DataFrame | None) -> DataFrame:
+    """The members of those lists that hold several components, with their component and the list's length ``m``."""
+    members = written(with_components(lists, components), "members")
+    kinds = members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"))
+    out = written(members.join(kinds.where("low <> high").select("v", "m"), "v"), "open")
+    drop_written(members)
+    return out
 
 
-def open_lists(members: DataFrame) -> DataFrame:
-    """(v, m) of the lists that hold several components."""
-    return members.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high").select("v", "m")
+def hub_pairs(members: DataFrame, percent: int, hubs: int) -> DataFrame:
+    """Members with the ``hubs`` most central ones of their list that are of like size and of another component.
+
+    Hubs are those of a class of sizes, so that a list of texts of all lengths has hubs for each. Two
+    nodes within the similarity are in the same class or in neighbours, and each node meets both.
+    """
+    width = float(np.log(100 / percent)) if percent < 100 else 1.0
+    rows = members.withColumn("of", F.floor(F.log("n") / width + 1e-9))
+    best = F.struct("central", "node", "component", "n")
+    if hubs == 1:
+        chosen = rows.groupBy("v", "of").agg(F.max(best).alias("hub"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("v", "of").orderBy(F.desc("central"), F.desc("node")))
+        chosen = rows.withColumn("rank", rank).where(F.col("rank") <= hubs).select("v", "of", best.alias("hub"))
+    met = rows.withColumn("of", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1))).join(chosen, ["v", "of"])
+    met = met.where((F.col("component") != F.col("hub.component")) & like_sizes(F.col("n"), F.col("hub.n"), percent))
+    return ordered(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
 
 
 def remaining_pairs(rest: DataFrame, percent: int, size: Column | None = None, bound: Column | None = None) -> DataFrame:
-    """All pairs of different components in the lists of ``rest`` that places don't rule out.
+    """All pairs of different components in the lists of ``rest`` that sizes and places don't rule out.
 
     From two values' places in the order of rarity follows how much two nodes may share at most:
     of their full sets, or, with ``size`` and ``bound``, of their sketches.
     """
-    rest = rest.withColumns({"ahead": (F.col("n") if size is None else size) - F.col("place"), "bound": F.lit(0) if bound is None else bound})
+    rest = rest.select("v", "node", "n", "component", ((F.col("n") if size is None else size) - F.col("place")).alias("ahead"), (F.lit(0) if bound is None else bound).alias("bound"))
     x, y = rest.alias("x"), rest.alias("y")
-    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     most = F.least("x.ahead", "y.ahead")
     enough = most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent if bound is None else most >= F.least("x.bound", "y.bound")
-    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & near & enough)
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.component") < F.col("y.component")) & like_sizes(F.col("x.n"), F.col("y.n"), percent) & enough)
     return ordered(met.select(F.col("x.node").alias("x"), F.col("y.node").alias("y")))
 
 
-def linked_nodes(rows: DataFrame, postings: DataFrame, sketched: DataFrame, words: int, k: int, percent: int, hub_rounds: int) -> DataFrame:
+def linked_nodes(rows: DataFrame, postings: DataFrame, sketched: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
+    links = tested = components = None
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         return written(full_sets(rows, sketched.select("node", "rep").join(nodes.distinct(), "node", "left_semi"), words), "sets")
 
-    def with_components(lists: DataFrame) -> DataFrame:
-        if components is None:
-            return lists.withColumn("component", F.col("node"))
-        return lists.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    links = tested = components = None
-    for turn in range(hub_rounds + 1):
-        members = written(with_components(postings), "members")
-        if turn == hub_rounds:
-            several = written(open_lists(members), "open")
-            short = members.join(several.where(F.col("m") <= SHORT_LIST), "v", "left_semi")
-            sets = sets_of(members.join(several.where(F.col("m") > SHORT_LIST), "v", "left_semi").select("node"))
-            exact = written(with_components(set_postings(sets, percent)), "members")
-            pairs = remaining_pairs(exact.join(open_lists(exact), "v", "left_semi"), percent)
-            pairs = pairs.union(remaining_pairs(short, percent, F.least("n", F.lit(k)), shared_values(k, percent))).distinct()
-        else:
-            pairs = hub_pairs(members)
+    def confirm(pairs: DataFrame) -> None:
+        """Add the pairs that are links, and work out the components anew."""
+        nonlocal links, tested, components
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         near = written(estimated(pairs, sketched, k, percent), "near")
         if near.isEmpty():
-            continue
+            return
         sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")))
         new = written(confirmed(near, sets, percent), "links")
+        drop_written(near, sets)
         links = new if links is None else links.union(new)
         components = written(connected_components(links), "components")
+
+    confirm(hub_pairs(with_components(postings, None), percent, 1))
+    members = open_members(postings, components)
+    confirm(hub_pairs(members.where(F.col("m") > SHORT_LIST), percent, HUBS))
+    rest = open_members(members.drop("component", "m"), components)
+    sets = sets_of(rest.where(F.col("m") > SHORT_LIST).select("node"))
+    exact = open_members(set_postings(sets, percent), components)
+    drop_written(members, sets)
+    pairs = remaining_pairs(rest.where(F.col("m") <= SHORT_LIST), percent, F.least("n", F.lit(k)), shared_values(k, percent))
+    confirm(pairs.union(remaining_pairs(exact, percent)).distinct())
+    drop_written(rest, exact)
     if components is None:
         return postings.select("node", F.col("node").alias("component")).limit(0)
     return components
@@ -274,7 +301,6 @@ def near_duplicates(
     words: int = 2,
     percent: int = 80,
     k: int = 64,
-    hub_rounds: int = 2,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id of its class), kept."""
     rows = id_text(docs, id_col, text_col)
@@ -283,9 +309,10 @@ def near_duplicates(
     nodes = written(nodes, "nodes")
     postings = written(sketch_postings(nodes, k, percent), "postings")
     several = postings.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
-    postings = written(postings.join(several, "v"), "lists")
+    every, postings = postings, written(postings.join(several, "v"), "lists")
+    drop_written(every)
     sketched = written(nodes.join(postings.select("node").distinct(), "node", "left_semi"), "candidates")
-    components = linked_nodes(rows, postings, sketched, words, k, percent, hub_rounds)
+    components = linked_nodes(rows, postings, sketched, words, k, percent)
     named = nodes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = named.join(names, "component").select("node", "component_id")
