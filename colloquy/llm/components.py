@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import drop_written, written
 
 #: Parts into which the edges of a node are dealt where they meet the node's least neighbour, lest a large star is one task.
-SALTS = 8
+SALTS = 4
 
 
 def _fingerprint(edges: DataFrame) -> tuple:

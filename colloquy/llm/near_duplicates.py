@@ -42,8 +42,8 @@ MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 REMEMBERED = 400_000
 #: Members up to which an inverted list simply gives its pairs: the pairs stay in proportion to the members.
 SHORT_LIST = 48
-#: Hubs of each class of sizes in a longer list, in the second round.
-HUBS = 16
+#: Of the second round: hubs of each class of sizes in a longer list, and lists in which a node meets them, its longest.
+HUBS, LISTS = 16, 4
 #: Bits of the filter that keeps texts without candidates out of the second pass; 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -228,7 +228,8 @@ def hub_pairs(members: DataFrame, percent: int, hubs: int) -> DataFrame:
     """Members with the ``hubs`` most central ones of their list that are of like size and of another component.
 
     Hubs are those of a class of sizes, so that a list of texts of all lengths has hubs for each. Two
-    nodes within the similarity are in the same class or in neighbours, and each node meets both.
+    nodes within the similarity are in the same class or in neighbours; each node meets the hubs of its
+    own class and of the next lower one, which ties groups on a border together.
     """
     width = float(np.log(100 / percent)) if percent < 100 else 1.0
     rows = members.withColumn("of", F.floor(F.log("n") / width + 1e-9))
@@ -238,7 +239,9 @@ def hub_pairs(members: DataFrame, percent: int, hubs: int) -> DataFrame:
     else:
         rank = F.row_number().over(Window.partitionBy("v", "of").orderBy(F.desc("central"), F.desc("node")))
         chosen = rows.withColumn("rank", rank).where(F.col("rank") <= hubs).select("v", "of", best.alias("hub"))
-    met = rows.withColumn("of", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1))).join(chosen, ["v", "of"])
+        longest = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "v"))
+        rows = rows.withColumn("rank", longest).where(F.col("rank") <= LISTS)
+    met = rows.withColumn("of", F.explode(F.array(F.col("of") - 1, "of"))).join(chosen, ["v", "of"])
     met = met.where((F.col("component") != F.col("hub.component")) & like_sizes(F.col("n"), F.col("hub.n"), percent))
     return ordered(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")))
 
