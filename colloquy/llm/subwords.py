@@ -1,7 +1,9 @@
 """Byte-level BPE ids from a public vocabulary file.
 
-The ids equal those of the ``tokenizers`` library for the same file (tests hold
-them against each other); the merges themselves run in ``tiktoken``, several times faster.
+The ids equal those of the ``tokenizers`` library for the same file, called with
+``add_special_tokens=False`` (tests hold them against each other). The merges themselves run in
+``tiktoken``, several times faster; texts that hold a special token's string, which the library
+gives its own id, and texts with very long runs go through the library.
 """
 
 from __future__ import annotations
@@ -36,28 +38,32 @@ def has_long_run(text: str) -> bool:
 
 
 class ByteBpe:
-    """Encoder for one vocabulary file; special tokens in a text are ordinary text."""
+    """Encoder for one vocabulary file, as the library reads it: a special token's string has its id."""
 
     def __init__(self, path: str):
         symbols = byte_symbols()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = spec["model"]["vocab"]
         ranks = {bytes(symbols[c] for c in word): i for word, i in vocab.items() if word not in special}
-        self.size = max(vocab.values()) + 1
+        self.size = max(max(vocab.values()), *special.values(), 0) + 1
         self.byte_len = np.zeros(self.size, np.int64)
-        for word, i in ranks.items():
+        for word, i in [*ranks.items(), *((w.encode(), i) for w, i in special.items())]:
             self.byte_len[i] = len(word)
+        self._blank = {i for word, i in ranks.items() if word[:1] == b" "}
+        self._special = tuple(special)
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path = path
         self._exact: Tokenizer | None = None
 
+    def starts_with_blank(self, i: int) -> bool:
+        return i in self._blank
+
     def encode(self, text: str) -> list[int]:
-        if len(text) >= LONG_RUN and has_long_run(text):
+        if (len(text) >= LONG_RUN and has_long_run(text)) or any(s in text for s in self._special):
             if self._exact is None:
                 self._exact = Tokenizer.from_file(self.path)
-                self._exact.encode_special_tokens = True
             return self._exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
