@@ -140,10 +140,26 @@ def test_toxicity_keeps_every_toxic_word():
     word = lambda letters: "".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(5))
     plain, bad = [word("bcdfgl") for _ in range(400)], [word("mnprstvz") for _ in range(200)]
     sample = [(" ".join([*rng.sample(plain, 30), *(rng.sample(bad, 20) if k % 2 else [])]), k % 2) for k in range(800)]
-    gaps = toxicity.train(sample).gaps
-    assert all(toxicity.wide([w.encode()]) in gaps.toxic for w in bad)
-    found = gaps.scorer()
-    assert sum(len(found(w)) > 0 for w in bad) >= 180 and not any(len(found(w)) for w in plain)
+    model = toxicity.train(sample)
+    gap = lambda w: model.gaps.of([w])[0].max(initial=0)
+    assert sum(gap(w) >= model.hit for w in bad) >= 180 and not any(gap(w) >= model.hit for w in plain)
+
+
+def test_toxicity_gaps_equal_single_compressions():
+    """Each window's gap is the difference of two compressed lengths, whatever batch it is in."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("bcdfgl") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    texts = [" ".join(rng.choices([*plain, "grubble", "snarkish"], k=n)) for n in [0, 1, 2, 31, 32, 33, 64, 65, 700]]
+    gaps = toxicity.dictionaries([(" ".join([*rng.sample(plain, 40), *(["grubble", "snarkish"] if k % 2 else [])]), k % 2) for k in range(200)], 4000, 8.0, 5)
+    length = lambda held, part: len(toxicity.compressor(held).compress(part))
+    for text, got in zip(texts, gaps.of(texts), strict=True):
+        words, want = text.split(), []
+        for at in range(0, len(words), toxicity.BLOCK):
+            block = words[at : at + toxicity.BLOCK + 1]
+            save = lambda ws: length(gaps.ordinary, toxicity.wide(ws)) - length(gaps.toxic, toxicity.wide(ws))
+            if save(block) >= toxicity.LEAD:
+                want += [save(block[k : k + 2]) for k in range(max(1, len(block) - 1))]
+        assert list(got) == want
 
 
 def test_toxicity_edges(spark, odd, none):
