@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Three-letter language codes and their two-letter ones.
 LANGUAGE_CODES = {
-    "eng": "en", "spa": "es", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "ita": "it",
-    "por": "pt", "rus": "ru", "ukr": "uk", "pol": "pl", "nld": "nl", "jpn": "ja", "zho": "zh",
+    "eng": "en", "spa": "es", "fra": "fr", "fre": "fr", "deu": "de", "ger": "de", "ita": "it",
+    "por": "pt", "rus": "ru", "ukr": "uk", "jpn": "ja", "kor": "ko", "zho": "zh", "chi": "zh",
 }
 #: Words that say nothing about a project.
-ROUTING_STOP_WORDS = ("a", "an", "and", "for", "in", "of", "on", "the", "to", "with")
+ROUTING_STOP_WORDS = ("a", "an", "and", "at", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with")
+#: Seconds before each further attempt of a job, by its type.
+RETRY_DELAYS = {"precheck": (1, 2), "publish": (3,), "cleanup": (5,)}
+DEFAULT_RETRY_DELAYS = (2,)
 
 
 def safe_number(value: Column, default: float = 0.0, low: float | None = None, high: float | None = None) -> Column:
@@ -120,19 +123,27 @@ def precheck(duration_sec: Column, speech_ratio: Column, *, least_sec: float = 2
     """Why a recording goes to quarantine; null if it doesn't."""
     return (
         F.when(duration_sec.isNull() | speech_ratio.isNull(), "precheck_metrics_unavailable")
-        .when(duration_sec < least_sec, f"duration_lt_{least_sec:g}s")
-        .when(speech_ratio < least_ratio, f"speech_ratio_lt_{least_ratio:g}")
+        .when(duration_sec < least_sec, f"duration_lt_{least_sec:.0f}s")
+        .when(speech_ratio < least_ratio, f"speech_ratio_lt_{least_ratio:.2f}")
     )
 
 
-def retry_delay(attempt: Column, delays: tuple[int, ...] = (30, 120, 600)) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in delays]), F.greatest(F.lit(1), F.least(attempt.cast("int"), F.lit(len(delays)))))
+def retry_delay(job_type: Column, attempt: Column) -> Column:
+    """Seconds before the next try after an attempt (from 1); 0 before the first and beyond what the type's policy lists."""
+    delays = F.coalesce(*[F.when(job_type == k, F.array(*map(F.lit, v))) for k, v in RETRY_DELAYS.items()], F.array(*map(F.lit, DEFAULT_RETRY_DELAYS)))
+    listed = attempt.between(1, F.size(delays))
+    return F.when(listed, F.try_element_at(delays, attempt.cast("int"))).otherwise(F.lit(0))
 
 
 def joined_text(before: Column, after: Column) -> Column:
-    """Two pieces of speech as one: the second begins in lower case, unless a sentence ended, or it is I or an acronym."""
-    first = F.regexp_extract(after, r"^(\S+)", 1)
-    ends = before.rlike(r"[.!?…:]\s*$")
-    keep = ends | first.rlike(r"^(I|I'\w+)$") | (F.length(first) > 1) & first.rlike(r"^\p{Lu}{2}")
+    """Two pieces of speech as one: the second begins in lower case, unless a sentence ended, or it begins with I or an acronym.
+
+    An acronym is a first word whose letters up to the first other character are two or more, all upper. A blank or
+    null piece leaves the other alone.
+    """
+    before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+    first = F.regexp_extract(after, r"^\s*(\S+)", 1)
+    keep = before.rlike(r"[.!?]\s*$") | ~first.rlike(r"^\p{Lu}") | (first == "I") | first.rlike(r"^\p{Lu}{2,}(\P{L}|$)")
     lowered = F.concat(F.lower(F.substring(after, 1, 1)), F.substr(after, F.lit(2)))
-    return F.when(F.coalesce(F.trim(before), F.lit("")) == "", after).otherwise(F.concat_ws(" ", F.trim(before), F.when(keep, after).otherwise(lowered)))
+    blank = (F.trim(before) == "") | (F.trim(after) == "")
+    return F.when(blank, F.trim(F.concat_ws(" ", before, after))).otherwise(F.concat_ws(" ", before, F.when(keep, after).otherwise(lowered)))

@@ -1,8 +1,11 @@
-"""Turn operators that depend on their own earlier steps: one recording is one unit of work."""
+"""Turn operators that depend on their own earlier steps: one recording is one unit of work.
+
+A null text counts as a blank one, which has no words and adds nothing to what it is joined with.
+"""
 
 from __future__ import annotations
 
-import re
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,11 +15,16 @@ TURN = "recording_id string, seq long, speaker string, start_ms long, end_ms lon
 
 
 def joined(before: str, after: str) -> str:
-    """Speech joined in one sentence, unless the first piece ended one or the second begins with I or an acronym."""
-    if not before or not after:
-        return before or after
+    """Speech joined in one sentence, unless the first piece ended one or the second begins with I or an acronym.
+
+    The same rule as ``scalars.joined_text``; a blank piece leaves the other alone.
+    """
+    if not before.strip() or not after.strip():
+        return f"{before} {after}".strip()
     word = after.split()[0]
-    keep = before.rstrip()[-1] in ".!?…:" or word == "I" or word.startswith("I'") or re.match(r"[^\W\d_]{2,}", word) and word[:2].isupper()
+    letters = "".join(itertools.takewhile(str.isalpha, word))
+    acronym = len(letters) > 1 and letters.isupper()
+    keep = before.rstrip()[-1] in ".!?" or word == "I" or acronym or not word[0].isupper()
     return f"{before} {after if keep else after[0].lower() + after[1:]}"
 
 
@@ -77,7 +85,7 @@ def by_recording(turns: DataFrame, fold: Callable[[list[dict]], list[dict]]) ->
     names = [f.split()[0] for f in TURN.split(", ")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_ms", "end_ms", "speaker", "seq"])
+        frame = frame.assign(text=frame["text"].fillna("")).sort_values(["start_ms", "end_ms", "speaker", "seq"])
         return pd.DataFrame(fold(frame[names].to_dict("records")), columns=names)
 
     return turns.select(*names).groupBy("recording_id").applyInPandas(run, TURN)

@@ -84,7 +84,8 @@ def question_owners(questions: DataFrame, turns: DataFrame, *, least: float = 0.
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_-]{2,}"), F.lit(0)))
     pairs = questions.select("recording_id", "question").join(turns.select("recording_id", "seq", "speaker", "text"), "recording_id")
     asked = words(F.col("question"))
+    bare = F.lower(F.regexp_replace("question", r"^[?？\s]+|[?？\s]+$", ""))
     share = F.size(F.array_intersect(asked, words(F.col("text")))) / F.greatest(F.size(asked), F.lit(1))
-    score = F.when(F.contains(F.lower("text"), F.lower(F.trim("question"))), 2.0).otherwise(share)
+    score = F.when(F.contains(F.lower("text"), bare), 2.0).otherwise(share)
     best = pairs.withColumn("score", score).groupBy("recording_id", "question").agg(F.max_by(F.struct("speaker", "score"), F.struct("score", -F.col("seq"))).alias("b"))
     return best.where(F.col("b.score") >= least).select("recording_id", "question", "b.speaker")

@@ -10,25 +10,41 @@ from colloquy.operators.turns import merge_turns
 
 #: How many items of each kind a merged extract keeps.
 LIMITS = {"topic": 12, "bullet": 40, "decision": 40, "cue": 12, "question": 30, "action": 30}
-#: Which state of a stage or chunk is looked at first.
-PRIORITY = {"failed": 4, "running": 3, "cancelled": 2, "planned": 1}
+#: Which state of a chunk is looked at first, and which source of a cause.
+CHUNK_PRIORITY = {"running": 5, "cancelled": 4, "failed": 3, "split": 2, "completed": 1}
+SOURCE_PRIORITY = {"recording": 3, "stage": 2, "chunk": 1}
+#: How much a cause's code says; others say 2.
+VAGUE_CODES = {"job_retry_limit_reached": 0, "processing_runtime_error": 1}
 
 
-def priority(status: Column) -> Column:
-    return F.coalesce(*[F.when(status == k, v) for k, v in PRIORITY.items()], F.lit(0))
+def ranked(value: Column, ranks: dict[str, int], other: int = 0) -> Column:
+    return F.coalesce(*[F.when(value == k, v) for k, v in ranks.items()], F.lit(other))
+
+
+def _latest(states: DataFrame) -> list[Column]:
+    """What orders rows in time: when they were updated, finished and started, of those times that there are."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("updated_at", "finished_at", "started_at") if c in states.columns]
 
 
 def current_rows(states: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """The stage (or chunk) row that tells most about a recording: the wanted one, else by state, then the latest."""
+    """The stage row that tells most about a recording: the one it says it is in, else the latest; ties go to the greatest name."""
     match = F.coalesce(F.col("stage_name") == wanted, F.lit(False)) if wanted is not None else F.lit(False)
-    key = F.struct(match.cast("int"), priority(F.col("status")), "updated_at", "stage_name")
+    key = F.struct(match.cast("int").alias("match"), *[c.alias(f"at{k}") for k, c in enumerate(_latest(states))], "stage_name")
     return states.groupBy("recording_id").agg(F.max_by(F.struct("stage_name", "status", "updated_at"), key).alias("s")).select("recording_id", "s.*")
 
 
+def current_chunks(states: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """The chunk row of each recording: the one it says it is in, else by state, then the latest; ties go to the greatest index."""
+    match = F.coalesce(F.col("chunk_index") == wanted, F.lit(False)) if wanted is not None else F.lit(False)
+    times = [c.alias(f"at{k}") for k, c in enumerate(_latest(states))]
+    key = F.struct(match.cast("int").alias("match"), ranked(F.col("status"), CHUNK_PRIORITY).alias("state"), *times, "chunk_index")
+    return states.groupBy("recording_id").agg(F.max_by(F.struct("chunk_index", "status", "updated_at"), key).alias("s")).select("recording_id", "s.*")
+
+
 def root_causes(causes: DataFrame) -> DataFrame:
-    """The cause of each recording: a stop first, then the more specific, the more trusted source, the code."""
-    generic = F.col("code").isin("unknown", "stage_failed", "chunk_failed")
-    key = F.struct((F.col("source") == "stop").cast("int"), (~generic).cast("int"), F.coalesce(*[F.when(F.col("source") == s, k) for k, s in enumerate(("recording", "stage", "chunk"))], F.lit(3)), "code")
+    """The cause of each recording: a stop first, then the more specific code, then the source; ties go to the greatest code and source."""
+    source, code = F.col("source"), F.col("code")
+    key = F.struct((source == "stop").cast("int").alias("stop"), ranked(code, VAGUE_CODES, 2).alias("says"), ranked(source, SOURCE_PRIORITY).alias("from"), "code", "source")
     return causes.where("code IS NOT NULL").groupBy("recording_id").agg(F.max_by(F.struct("source", "code"), key).alias("c")).select("recording_id", "c.*")
 
 

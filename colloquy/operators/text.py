@@ -12,7 +12,7 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 #: Budgets of a glossary.
 MAX_ENTRIES, MAX_TERMS, MAX_CHARS = 24, 48, 480
 #: Where a glossary term may come from, the most trusted first.
-SOURCES = ("correction", "manual", "speaker_bank", "calendar", "project", "system")
+SOURCES = ("manual", "correction", "project", "calendar", "speaker_bank", "system")
 
 
 def common_subsequence(a: str, b: str) -> int:

@@ -131,7 +131,8 @@ def training_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as glossary terms of their brands; a part's type words are its aliases."""
     rows = table(spark, sf_dir, "part")
-    source = F.element_at(F.array(*[F.lit(s) for s in text.SOURCES]), (F.col("p_partkey") % len(text.SOURCES)).cast("int") + 1)
+    names = ("system", "speaker_bank", "manual", "project", "correction", "calendar")
+    source = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 6).cast("int") + 1)
     return rows.select(F.col("p_brand").alias("group"), F.col("p_type").alias("canonical_text"), F.array("p_name").alias("aliases"), F.lit("product").alias("kind"), source.alias("source"))
 
 
@@ -155,7 +156,8 @@ _CENT = f"w AS ({_W}), cen AS (SELECT voice_profile_id, list(x ORDER BY place) A
 _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 _NEAR = f"""{_CENT}, sc AS (SELECT vec_id AS sample_id, label::BIGINT AS voice_profile_id, cen.voice_profile_id AS candidate, round({_COS.format('embedding::DOUBLE[]', 'c')}, 4) AS score FROM embeddings, cen), nr AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, candidate) AS position FROM sc) WHERE position <= 3)"""
-_GLOSS = """en AS (SELECT p_brand AS "group", p_type AS t, p_name AS al, (['correction', 'manual', 'speaker_bank', 'calendar', 'project', 'system'])[(p_partkey % 6)::INT + 1] AS source, p_partkey % 6 + 1 AS rank FROM part), cl AS (
+_GLOSS = """en AS (SELECT p_brand AS "group", p_type AS t, p_name AS al, (['system', 'speaker_bank', 'manual', 'project', 'correction', 'calendar'])[(p_partkey % 6)::INT + 1] AS source,
+  CASE source WHEN 'manual' THEN 1 WHEN 'correction' THEN 2 WHEN 'project' THEN 3 WHEN 'calendar' THEN 4 WHEN 'speaker_bank' THEN 5 WHEN 'system' THEN 6 END AS rank FROM part), cl AS (
   SELECT *, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS tx FROM en), mg AS (
   SELECT "group", lower(tx) AS key, first(tx ORDER BY rank, tx) AS canonical_text, min(rank)::BIGINT AS rank, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(DISTINCT al) AS aliases FROM cl WHERE tx <> '' GROUP BY 1, 2)"""
 _TERMS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_-]{5,}'))"

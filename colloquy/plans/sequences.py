@@ -35,6 +35,21 @@ def current_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.current_rows(rows).select("recording_id", "stage_name", "status")
 
 
+def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as chunks of their orders."""
+    status = F.when(F.col("l_returnflag") == "A", "failed").when(F.col("l_returnflag") == "R", "cancelled").when(F.col("l_linenumber") % 3 == 0, "split").when(F.col("l_linestatus") == "O", "running").otherwise("completed")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("recording_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), status.alias("status"), F.col("l_shipdate").alias("updated_at"))
+    return reports.current_chunks(rows).select("recording_id", "chunk_index", "status")
+
+
+def root_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as causes of their orders' failures; parts as their sources."""
+    source = F.coalesce(*[F.when(F.col("l_partkey") % 9 == k, v) for k, v in enumerate(("recording", "stage", "chunk", "stop"))], F.lit("job"))
+    kind = F.col("l_linenumber") % 4
+    code = F.when(kind == 0, "job_retry_limit_reached").when(kind == 1, "processing_runtime_error").otherwise(F.concat(F.lit("code_"), "l_returnflag"))
+    return reports.root_causes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("recording_id"), source.alias("source"), code.alias("code")))
+
+
 def merged_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of parts as bullets of their brands."""
     rows = table(spark, sf_dir, "part")
@@ -65,7 +80,21 @@ QUERIES = {
     "current_stages": (
         current_stages,
         """WITH s AS (SELECT o_custkey AS recording_id, o_orderpriority || '-' || o_orderkey AS stage_name, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'planned' ELSE 'completed' END AS status, o_orderdate AS u FROM orders)
-SELECT recording_id, stage_name, status FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY CASE status WHEN 'running' THEN 3 WHEN 'planned' THEN 1 ELSE 0 END DESC, u DESC, stage_name DESC) AS r FROM s) WHERE r = 1""",
+SELECT recording_id, stage_name, status FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY u DESC, stage_name DESC) AS r FROM s) WHERE r = 1""",
+    ),
+    "current_chunks": (
+        current_chunks,
+        """WITH c AS (SELECT l_orderkey AS recording_id, l_linenumber AS chunk_index, CASE WHEN l_returnflag = 'A' THEN 'failed' WHEN l_returnflag = 'R' THEN 'cancelled' WHEN l_linenumber % 3 = 0 THEN 'split' WHEN l_linestatus = 'O' THEN 'running' ELSE 'completed' END AS status, l_shipdate AS u FROM lineitem)
+SELECT recording_id, chunk_index::BIGINT AS chunk_index, status FROM c
+QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY CASE status WHEN 'running' THEN 5 WHEN 'cancelled' THEN 4 WHEN 'failed' THEN 3 WHEN 'split' THEN 2 ELSE 1 END DESC, u DESC, chunk_index DESC) = 1""",
+    ),
+    "root_causes": (
+        root_causes,
+        """WITH c AS (SELECT l_orderkey AS recording_id, CASE l_partkey % 9 WHEN 0 THEN 'recording' WHEN 1 THEN 'stage' WHEN 2 THEN 'chunk' WHEN 3 THEN 'stop' ELSE 'job' END AS source,
+  CASE l_linenumber % 4 WHEN 0 THEN 'job_retry_limit_reached' WHEN 1 THEN 'processing_runtime_error' ELSE 'code_' || l_returnflag END AS code FROM lineitem)
+SELECT recording_id, source, code FROM c QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY (source = 'stop') DESC,
+  CASE code WHEN 'job_retry_limit_reached' THEN 0 WHEN 'processing_runtime_error' THEN 1 ELSE 2 END DESC,
+  CASE source WHEN 'recording' THEN 3 WHEN 'stage' THEN 2 WHEN 'chunk' THEN 1 ELSE 0 END DESC, code DESC, source DESC) = 1""",
     ),
     "merged_extracts": (
         merged_extracts,

@@ -115,3 +115,46 @@ def test_streams_equal_their_batch_forms(spark, fn):
     streamed = {tuple(r) for r in spark.table(name).collect()}
     batch = {tuple(r) for r in fn(windows.event_batch(spark, SF)).collect()}
     assert streamed and streamed <= batch and len(batch) - len(streamed) < 60  # the last ones are open when the input ends
+
+
+def test_fixed_values(spark):
+    row = spark.range(1).select(
+        *[F.coalesce(scalars.language_code(F.lit(c)), F.lit("-")).alias(c) for c in ("kor", "chi", "pol", "eng")],
+        scalars.routing_tokens(F.lit("from alpha at beta or is")).alias("tokens"),
+        scalars.precheck(F.lit(100.0), F.lit(0.05)).alias("why"),
+        F.array(*[scalars.retry_delay(F.lit(t), F.lit(n)) for t, n in (("precheck", 1), ("precheck", 2), ("precheck", 3), ("publish", 1), ("other", 1), ("other", 2), ("other", 0))]).alias("delays"),
+    ).first()
+    assert (row["kor"], row["chi"], row["pol"], row["eng"]) == ("ko", "zh", "-", "en")
+    assert row["tokens"] == ["alpha", "beta"] and row["why"] == "speech_ratio_lt_0.10"
+    assert row["delays"] == [1, 2, 0, 3, 2, 0, 0]
+
+
+def test_speech_is_joined_by_one_rule(spark):
+    from colloquy.operators.folding import joined
+
+    cases = [
+        ("we say", "That is", "we say that is"), ("Done.", "That is", "Done. That is"), ("see:", "That is", "see: that is"), ("and so…", "That", "and so… that"),
+        ("and", "API-based tools", "and API-based tools"), ("and", "Ab c", "and ab c"), ("and", "I think", "and I think"), ("and", "I'm here", "and i'm here"), ("", "Yes", "Yes"), ("a", "", "a"), (" ", "Yes", "Yes"),
+    ]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string").select(scalars.joined_text(F.col("a"), F.col("b")).alias("j")).collect()
+    assert [r["j"] for r in rows] == [c for _, _, c in cases] == [joined(a, b) for a, b, _ in cases]
+
+
+def test_blank_and_null_turns_are_folded(spark):
+    from colloquy.operators import folding
+
+    rows = [("r", 0, "A", 0, 1000, None), ("r", 1, "A", 1200, 2000, " "), ("r", 2, "A", 2100, 9000, "one two three four five six seven"), ("r", 3, "B", 9100, 9200, None)]
+    turns = spark.createDataFrame(rows, folding.TURN)
+    for out in (folding.merge_short_turns(turns), folding.smooth_turns(turns)):
+        assert not any("None" in r["text"] for r in out.collect())
+
+
+def test_root_causes_and_chunks_by_rank(spark):
+    from colloquy.operators import reports
+
+    causes = [("a", "recording", "x"), ("a", "stage", "y"), ("a", "chunk", "z"), ("a", "job", "zz"), ("b", "recording", "job_retry_limit_reached"), ("b", "chunk", "processing_runtime_error"), ("c", "stop", "u"), ("c", "recording", "v")]
+    got = {r["recording_id"]: r["code"] for r in reports.root_causes(spark.createDataFrame(causes, "recording_id string, source string, code string")).collect()}
+    assert got == {"a": "x", "b": "processing_runtime_error", "c": "u"}
+    chunks = [("a", "1", "failed", "2024-02-01"), ("a", "2", "running", "2024-01-01"), ("b", "1", "completed", "2024-01-01"), ("b", "2", "split", "2023-01-01"), ("c", "1", "odd", "2024-01-01"), ("c", "2", "odd", "2024-01-02")]
+    got = {r["recording_id"]: r["chunk_index"] for r in reports.current_chunks(spark.createDataFrame(chunks, "recording_id string, chunk_index string, status string, updated_at string")).collect()}
+    assert got == {"a": "2", "b": "2", "c": "2"}
