@@ -8,8 +8,8 @@ are the windows looked at. Text is compressed in UTF-16, which doubles what a ma
 Both dictionaries hold the most frequent words without such a segment, at the same distances, so that lengths
 differ only by what the classes differ in. The toxic one holds besides the segments of words (of ``LENGTHS`` characters) that are clearly more frequent in toxic documents, by ratio, count
 and a likelihood-ratio test; a stem that takes many endings is such a segment, though none of its
-words may be frequent. (The library's own trainer takes the most frequent segments alone. In trials with it, on all
-windows or on those that the ordinary dictionary compresses worst, gaps told the classes apart hardly
+words may be frequent. (The library's own trainer takes the most frequent segments alone. In trials with it, the toxic
+dictionary trained on the windows that the ordinary one compresses worst, gaps told the classes apart hardly
 better than chance: AUC 0.37 to 0.58 on held-out documents.) Training documents of a label whose word sets
 have a Jaccard of ``COPY`` or more count as one, lest a family of near copies fills a dictionary; ``BANDS`` of
 minima find such pairs, and the sets themselves decide.
