@@ -199,7 +199,6 @@ def dictionaries(sample: list[tuple[str, int]], ordinary_bytes: int, ratio: floa
         if label:
             own.update(segments(words))
             held.update(words)
-    kinds = len(own)
     own = Counter({part: n for part, n in own.items() if n >= least})
     other: Counter = Counter({part: 0 for part in own})
     common: Counter = Counter()
@@ -207,7 +206,7 @@ def dictionaries(sample: list[tuple[str, int]], ordinary_bytes: int, ratio: floa
         common.update(words)
         if not label:
             other.update(own.keys() & segments(words))
-    toxic = pick(own, size[1], other, size[0], held, ratio, LEVEL / max(1, kinds))
+    toxic = pick(own, size[1], other, size[0], held, ratio, LEVEL / max(1, sum(n >= least for n in held.values())))  # a word's segments stand and fall together
     if not toxic:
         return None
     frequent = [w for w in sorted(common, key=lambda w: (-common[w], w))[:ordinary_bytes] if not any(t in f" {w} " for t in toxic)]
@@ -215,7 +214,7 @@ def dictionaries(sample: list[tuple[str, int]], ordinary_bytes: int, ratio: floa
     return Gaps(wide(reversed(toxic)) + shared, shared)
 
 
-def train(sample: list[tuple[str, int]], ordinary_bytes: int = 24_000, ratio: float = 8.0, least: int = 5) -> Model:
+def train(sample: list[tuple[str, int]], ordinary_bytes: int = 24_000, ratio: float = 8.0, least: int = 3) -> Model:
     """Dictionaries, hit threshold and calibration from labelled texts."""
     labels = np.array([label for _, label in sample], float)
     gaps = dictionaries(sample, ordinary_bytes, ratio, least)
