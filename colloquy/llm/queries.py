@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm.common import table
 from colloquy.llm.decontaminate import contaminated
+from colloquy.llm.hard_negatives import hard_negatives
 from colloquy.llm.language import fit_language, language
 from colloquy.llm.lm_scoring import lm_scores
 from colloquy.llm.near_duplicates import near_duplicates
@@ -104,6 +105,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), relabel=True)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    coalesce(list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank,
+    s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -116,8 +143,9 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_ogg": op9_ogg,
         "op10_toxicity": op10_toxicity,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL}
