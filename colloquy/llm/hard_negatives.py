@@ -156,15 +156,22 @@ def eligible(embeddings: DataFrame, id_col: str, vector_col: str, label_col: str
     return rows.groupBy("id").agg(F.min(F.struct("label", "vector")).alias("row")).select("id", "row.label", "row.vector")
 
 
-def dealt(rows: DataFrame, anchors: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows dealt to blocks and anchors to groups of their key: every row of a key meets every anchor of it once.
+def dealt(rows: DataFrame, anchors: DataFrame, by_label: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt to blocks and anchors to groups, of their label or of all: every row of a key meets every anchor of it once.
 
     Rows are repeated for each group of anchors, anchors for each block; a key with many rows has many blocks.
     """
+    key = F.col("label") if by_label else F.lit(0).cast("long")
     rows, anchors = rows.withColumn("key", key), anchors.withColumn("key", key)
+    blocks, groups = F.ceil(F.sum("rows") / BLOCK).alias("blocks"), F.ceil(F.sum("anchors") / ANCHORS).alias("groups")
     sizes = rows.select("key", F.lit(1).alias("rows"), F.lit(0).alias("anchors")).union(anchors.select("key", F.lit(0), F.lit(1)))
-    sizes = sizes.groupBy("key").agg(F.ceil(F.sum("rows") / BLOCK).alias("blocks"), F.ceil(F.sum("anchors") / ANCHORS).alias("groups")).where("blocks > 0 and groups > 0")
-    rows, anchors = rows.join(sizes, "key"), anchors.join(sizes, "key")
+    if by_label:
+        sizes = sizes.groupBy("key").agg(blocks, groups).where("blocks > 0 and groups > 0")
+        rows, anchors = rows.join(sizes, "key"), anchors.join(sizes, "key")
+    else:
+        of_all = sizes.agg(blocks, groups).first()
+        counts = {name: F.lit(of_all[name] or 0) for name in ("blocks", "groups")}
+        rows, anchors = (df.withColumns(counts).where("blocks > 0 and groups > 0") for df in (rows, anchors))
 
     def part(among: str) -> Column:
         return F.pmod(F.xxhash64("id"), F.col(among))
@@ -207,15 +214,15 @@ def hard_negatives(
     packing = Packing(max(1, bound["size"] or 0), scaled(bound["most"] or 0.0) + 1)
     anchors = rows.where(F.col("id") % every == 0).toDF("id", "label", "vector")
 
-    def met(anchors: DataFrame, key: Column, n: int, percent: int | None) -> DataFrame:
-        left, right = dealt(rows, anchors, key)
+    def met(anchors: DataFrame, by_label: bool, n: int, percent: int | None) -> DataFrame:
+        left, right = dealt(rows, anchors, by_label)
         by = ["key", "block", "group"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_meet(packing, n, percent), MET)
 
-    own = ranked(met(anchors, F.col("label"), positives, None), positives, "anchor_id")
+    own = ranked(met(anchors, True, positives, None), positives, "anchor_id")
     held = own.groupBy(F.col("anchor_id").alias("id")).agg(F.collect_list(F.struct(F.col("other_id").alias("id"), "order", "score")).alias("positives"))
     with_positives = written(anchors.join(held, "id"), "anchors")
-    found = ranked(met(with_positives, F.lit(0), negatives, percent), negatives, "anchor_id", "positive_id")
+    found = ranked(met(with_positives, False, negatives, percent), negatives, "anchor_id", "positive_id")
     out = written(found.select("anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")), "negatives")
     drop_written(rows, with_positives)
     return out

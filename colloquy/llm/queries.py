@@ -12,6 +12,7 @@ from colloquy.llm.hard_negatives import hard_negatives
 from colloquy.llm.language import fit_language, language
 from colloquy.llm.lm_scoring import lm_scores
 from colloquy.llm.near_duplicates import near_duplicates
+from colloquy.llm.ngram_join import ngram_join
 from colloquy.llm.ogg import ogg_media
 from colloquy.llm.packing import best_fit_packing
 from colloquy.llm.quality import score_quality
@@ -131,6 +132,35 @@ SELECT * FROM n WHERE rank <= 5
 """
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+), g AS (  -- equal sets are one node
+  SELECT min(doc_id) AS rep, list_sort(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY ALL
+), e AS (
+  SELECT rep, len(sh) AS n, unnest(sh) AS v FROM g
+), p AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.v = b.v AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), l AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(x, y) AS (
+  SELECT rep, rep FROM g UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a
+), c AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN g ON len(s.sh) > 0 AND g.sh = list_sort(s.sh) LEFT JOIN c ON c.x = g.rep
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -144,8 +174,9 @@ def queries() -> dict[str, Query]:
         "op9_ogg": op9_ogg,
         "op10_toxicity": op10_toxicity,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_ngram_join": op12_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_ngram_join": OP12_SQL}
