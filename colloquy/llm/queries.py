@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colloquy.llm.collocations import collocations
 from colloquy.llm.common import table
 from colloquy.llm.decontaminate import contaminated
 from colloquy.llm.hard_negatives import hard_negatives
@@ -161,6 +162,45 @@ FROM s LEFT JOIN g ON len(s.sh) > 0 AND g.sh = list_sort(s.sh) LEFT JOIN c ON c.
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])) AS run
+  FROM w, (VALUES (1), (2), (3), (4)) AS sizes(m)
+), f AS (
+  SELECT lang, run, m, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang
+), c AS (
+  SELECT lang, run, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND f >= 30
+), s AS (
+  SELECT c.lang, c.run, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.run = c.run[: c.k] JOIN f y ON y.lang = c.lang AND y.run = c.run[c.k + 1 :]
+), b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, run ORDER BY score, k) = 1
+), o AS (
+  SELECT lang, run, m, f, unnest(range(2, m)) AS size FROM f WHERE m > 2 AND f >= 30
+), i AS (
+  SELECT lang, run[pos : pos + size - 1] AS run, max(f) AS around
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS pos FROM o) GROUP BY ALL
+), t AS (
+  SELECT b.lang, array_to_string(b.run, ' ') AS phrase, b.a, b.l, b.r, b.score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.run = b.run WHERE i.around IS NULL OR 100::HUGEINT * i.around < 80::HUGEINT * b.a
+)
+SELECT t.lang, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM t JOIN n ON n.lang = t.lang QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -175,8 +215,9 @@ def queries() -> dict[str, Query]:
         "op10_toxicity": op10_toxicity,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_ngram_join": op12_ngram_join,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_ngram_join": OP12_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_collocations": OP13_SQL}
