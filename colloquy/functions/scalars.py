@@ -135,15 +135,24 @@ def retry_delay(job_type: Column, attempt: Column) -> Column:
     return F.when(listed, F.try_element_at(delays, attempt.cast("int"))).otherwise(F.lit(0))
 
 
-def joined_text(before: Column, after: Column) -> Column:
-    """Two pieces of speech as one: the second begins in lower case, unless a sentence ended, or it begins with I or an acronym.
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
 
-    An acronym is a first word whose letters up to the first other character are two or more, all upper. A blank or
-    null piece leaves the other alone.
+def joined_piece(before: Column, after: Column) -> Column:
+    """``after`` as it follows ``before`` in speech: in lower case, unless a sentence ended, or it begins with I or an acronym.
+
+    An acronym is a first word whose letters up to the first other character are two or more, all upper.
     """
-    before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     first = F.regexp_extract(after, r"^\s*(\S+)", 1)
     keep = before.rlike(r"[.!?]\s*$") | ~first.rlike(r"^\p{Lu}") | (first == "I") | first.rlike(r"^\p{Lu}{2,}(\P{L}|$)")
     lowered = F.concat(F.lower(F.substring(after, 1, 1)), F.substr(after, F.lit(2)))
+    return F.when(keep, after).otherwise(lowered)
+
+
+def joined_text(before: Column, after: Column) -> Column:
+    """Two pieces of speech as one, joined as ``joined_piece`` says. A blank or null piece leaves the other alone."""
+    before, after = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
     blank = (F.trim(before) == "") | (F.trim(after) == "")
-    return F.when(blank, F.trim(F.concat_ws(" ", before, after))).otherwise(F.concat_ws(" ", before, F.when(keep, after).otherwise(lowered)))
+    return F.when(blank, F.trim(F.concat_ws(" ", before, after))).otherwise(F.concat_ws(" ", before, joined_piece(before, after)))

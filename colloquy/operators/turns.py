@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.asof import as_of
 from colloquy.functions.intervals import duration, in_buckets, islands, overlap
+from colloquy.functions.scalars import joined_piece, language_code, stripped
 
 ORDER = ["start_ms", "end_ms", "speaker", "seq"]
 
@@ -54,40 +56,97 @@ def interruptions(turns: DataFrame, *, overlap_ms: int = 300) -> DataFrame:
     return counts.union(nobody).groupBy("recording_id", "speaker").agg(F.sum("done").alias("interruptions_done"), F.sum("received").alias("interruptions_received"))
 
 
-def assign_speakers(words: DataFrame, segments: DataFrame, *, bucket: int = 600_000, reach_ms: int = 7_200_000) -> DataFrame:
-    """Each word's speaker: the segment with the largest overlap, else the one whose middle is nearest.
+def assign_speakers(words: DataFrame, segments: DataFrame, *, bucket: int = 600_000) -> DataFrame:
+    """Each word's speaker: the segment with the largest overlap, else the one whose nearest edge is closest to the word's middle.
 
     Ties go to the earlier segment in (start, end, speaker, seq) order; a recording without segments
-    has speaker S1. Words meet overlapping segments in buckets of time. Words left over look for the
-    nearest middle among each bucket's first and last middles within ``reach_ms``, then in the whole recording.
+    has speaker S1. Words meet overlapping segments in buckets of time; a word without length overlaps nothing, but is closest to a
+    segment around it. Words left over look up the last end before their middle and the first start after it.
     """
     w = in_buckets(words.select("recording_id", F.col("seq").alias("word"), F.col("start_ms").alias("ws"), F.col("end_ms").alias("we")), "ws", "we", bucket)
     s = in_buckets(segments.select("recording_id", F.struct(*ORDER).alias("segment"), "start_ms", "end_ms"), "start_ms", "end_ms", bucket)
     shared = overlap(F.col("ws"), F.col("we"), F.col("start_ms"), F.col("end_ms"))
-    by_overlap = w.join(s, ["recording_id", "bucket"]).where(shared > 0).groupBy("recording_id", "word").agg(F.min_by("segment", F.struct(-shared, "segment")).alias("segment"))
+    around = (F.col("ws") == F.col("we")) & (F.col("start_ms") <= F.col("ws")) & (F.col("ws") <= F.col("end_ms"))
+    met = w.join(s, ["recording_id", "bucket"]).where((shared > 0) | around)
+    by_overlap = met.groupBy("recording_id", "word").agg(F.min_by("segment", F.struct(-shared, "segment")).alias("segment"))
     every = words.select("recording_id", F.col("seq").alias("word"), "start_ms", "end_ms")
     rest = every.join(by_overlap, ["recording_id", "word"], "left_anti")
-    return every.join(by_overlap.union(nearest_middles(rest, segments)), ["recording_id", "word"], "left").select(
+    return every.join(by_overlap.union(nearest_edges(rest, segments)), ["recording_id", "word"], "left").select(
         "recording_id", "word", F.coalesce("segment.speaker", F.lit("S1")).alias("speaker"), F.col("segment.seq").alias("segment_seq")
     )
 
 
-def nearest_middles(words: DataFrame, segments: DataFrame) -> DataFrame:
-    """(recording_id, word, segment) of the segment whose middle is nearest to each word's, by windows.
+def nearest_edges(words: DataFrame, segments: DataFrame) -> DataFrame:
+    """(recording_id, word, segment) of the segment whose end before, or start after, is nearest to each word's middle."""
+    asked = words.select("recording_id", "word", (F.col("start_ms") + F.col("end_ms")).alias("middle"))  # doubled, to stay whole
+    held = F.struct(*ORDER).alias("segment")
+    ends = segments.select("recording_id", (F.col("end_ms") * 2).alias("middle"), held)
+    starts = segments.select("recording_id", (F.col("start_ms") * 2).alias("middle"), held)
+    found = as_of(asked, ends, ["recording_id"], at="middle", value="segment", out="low")
+    found = as_of(found, starts, ["recording_id"], at="middle", value="segment", out="high", after=True)
+    low = F.when(F.col("low").isNotNull(), F.struct((F.col("middle") - F.col("low.end_ms") * 2).alias("far"), F.col("low").alias("segment")))
+    high = F.when(F.col("high").isNotNull(), F.struct((F.col("high.start_ms") * 2 - F.col("middle")).alias("far"), F.col("high").alias("segment")))
+    return found.select("recording_id", "word", F.least(low, high)["segment"].alias("segment"))
 
-    Words and middles stand in one order of time; the last middle before and the first one after a
-    word are the only ones that can be nearest.
+
+#: An ASR segment as it comes, and as it is cleaned: times may be missing, words may be missing or blank.
+WORDS = "array<struct<start_ms: long, end_ms: long, word: string>>"
+
+
+def clean_segments(segments: DataFrame) -> DataFrame:
+    """ASR segments (recording_id, seq, start_ms, end_ms, text, words, language) in good order.
+
+    A missing start is ``seq`` seconds, a missing end the start, and no end lies before its start. Blank words go; a word
+    without times takes the segment's; a segment with a text but no words is one word. Other columns stay.
+    """
+    start = F.coalesce(F.col("start_ms"), F.col("seq") * 1000)
+    rows = segments.withColumn("start_ms", start).withColumn("end_ms", F.greatest(F.col("start_ms"), F.coalesce("end_ms", "start_ms")))
+    rows = rows.withColumn("text", stripped(F.coalesce("text", F.lit(""))))
+    rows = rows.withColumn("language", F.nullif(stripped(F.coalesce("language", F.lit(""))), F.lit("")))
+
+    def clean(w: Column) -> Column:
+        begin = F.coalesce(w["start_ms"], F.col("start_ms"))
+        end = F.greatest(begin, F.coalesce(w["end_ms"], F.col("end_ms")))
+        return F.struct(begin.alias("start_ms"), end.alias("end_ms"), stripped(w["word"]).alias("word"))
+
+    spoken = F.filter(F.coalesce("words", F.array().cast(WORDS)), lambda w: stripped(F.coalesce(w["word"], F.lit(""))) != "")
+    whole = F.when(F.col("text") != "", F.array(F.struct("start_ms", "end_ms", F.col("text").alias("word")))).otherwise(F.array().cast(WORDS))
+    return rows.withColumn("words", F.when(F.size(spoken) > 0, F.transform(spoken, clean)).otherwise(whole))
+
+
+def segment_words(segments: DataFrame, *, default_language: str | None = None) -> DataFrame:
+    """One row a word of cleaned segments, numbered in the order (start, end, word, segment, place) as ``seq``.
+
+    ``segment_start`` marks a segment's first word. Numbers are unique in a recording and follow the order, with gaps.
+    """
+    language = F.coalesce("language", F.lit(default_language)) if default_language else F.col("language")
+    rows = segments.select("recording_id", F.col("seq").alias("segment"), language.alias("language"), F.posexplode("words").alias("place", "w"))
+    return rows.select("recording_id", "segment", "place", "language", F.col("w.start_ms").alias("start_ms"), F.col("w.end_ms").alias("end_ms"), F.col("w.word").alias("word"), (F.col("place") == 0).alias("segment_start"))
+
+
+SPOKEN = ["start_ms", "end_ms", "word", "segment", "place"]
+
+
+def word_turns(asr_segments: DataFrame, speaker_segments: DataFrame, *, default_language: str | None = None, gap_ms: int = 1000, bucket: int = 3_600_000) -> DataFrame:
+    """Speaker turns of ASR segments: words take their speaker, and words of one speaker in a row within a gap are a turn.
+
+    recording_id, start_ms, end_ms, speaker, text, language (that of the first word), n_words. The first word of a segment inside
+    a turn loses its capital where no sentence ended before it. Nothing is windowed over a whole recording.
     """
-    ends = segments.groupBy("recording_id", (F.col("start_ms") + F.col("end_ms")).alias("middle")).agg(F.min(F.struct(*ORDER)).alias("segment"))
-    points = ends.select("recording_id", "middle", F.lit(None).cast("long").alias("word"), F.struct("middle", "segment").alias("at"))
-    asked = words.select("recording_id", (F.col("start_ms") + F.col("end_ms")).alias("middle"), "word", F.lit(None).cast(points.schema["at"].dataType).alias("at"))
-    both = points.union(asked)
-    w = Window.partitionBy("recording_id").orderBy("middle", F.col("word").isNotNull())
-    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumn("low", F.last("at", True).over(up)).withColumn("high", F.first("at", True).over(down)).where("word IS NOT NULL")
-    far_low, far_high = F.col("middle") - F.col("low.middle"), F.col("high.middle") - F.col("middle")
-    key = lambda side, far: F.when(F.col(side).isNotNull(), F.struct(far.alias("far"), F.col(f"{side}.segment").alias("segment")))
-    return both.select("recording_id", "word", F.least(key("low", far_low), key("high", far_high))["segment"].alias("segment"))
+    words = segment_words(clean_segments(asr_segments), default_language=default_language)
+    number = F.struct("segment", "place")
+    numbered = words.withColumn("seq", number)
+    said = assign_speakers(numbered.select("recording_id", "seq", "start_ms", "end_ms"), speaker_segments)
+    said = numbered.drop("seq").join(said.select("recording_id", F.col("word.segment").alias("segment"), F.col("word.place").alias("place"), "speaker"), ["recording_id", "segment", "place"])
+    rows = islands(said, ["recording_id"], SPOKEN, gap=gap_ms, same=["speaker"], bucket=bucket)
+    turn = Window.partitionBy("recording_id", "island").orderBy(*SPOKEN)
+    before = F.lag("word").over(turn)
+    piece = F.when(before.isNotNull() & F.col("segment_start"), joined_piece(before, F.col("word"))).otherwise(F.col("word"))
+    held = F.array_sort(F.collect_list(F.struct(*SPOKEN, "piece"))).alias("held")
+    ends = [F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.first("speaker").alias("speaker"), F.count("*").alias("n_words")]
+    first = F.min_by("language", F.struct(*SPOKEN)).alias("spoken")
+    turns = rows.withColumn("piece", piece).groupBy("recording_id", "island").agg(*ends, first, held)
+    return turns.select("recording_id", "start_ms", "end_ms", "speaker", F.array_join(F.col("held.piece"), " ").alias("text"), language_code(F.col("spoken")).alias("language"), "n_words")
 
 
 def airtime(blocks: DataFrame) -> DataFrame:

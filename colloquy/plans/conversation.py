@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.intervals import coalesced, islands
+from colloquy.operators import turns
 from colloquy.operators.turns import ORDER, airtime, assign_speakers, interruptions, merged_blocks
 from colloquy.plans.sql import BLOCKS, INTERRUPTIONS, SEGMENTS
-from colloquy.sources.tables import segments
+from colloquy.sources.tables import asr_segments, role_segments, segments
 
 GAP_MS = 60_000
 
@@ -62,6 +63,11 @@ def word_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_speakers(words, rows.where("text <> 'click'"))
 
 
+def word_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of conversations, 400 ms apart, spoken over shorter segments of their roles."""
+    return turns.word_turns(asr_segments(spark, sf_dir), role_segments(spark, sf_dir), default_language="en")
+
+
 _HEAD = f"WITH {SEGMENTS}, {BLOCKS}"
 _PEOPLE = f"""{_HEAD}, {INTERRUPTIONS}, air AS (
   SELECT recording_id, speaker, sum(greatest(0, end_ms - start_ms))::BIGINT AS airtime_ms, count(*) AS turns FROM blocks GROUP BY 1, 2
@@ -81,13 +87,41 @@ _WORDS = f"""WITH {SEGMENTS}, w AS (
 ), lone AS (
   SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.word = w.word)
 ), n AS (
-  SELECT l.recording_id, word, speaker, s.seq, row_number() OVER (PARTITION BY l.recording_id, word ORDER BY abs(ws + we - start_ms - end_ms), start_ms, end_ms, speaker, s.seq) AS r
+  SELECT l.recording_id, word, speaker, s.seq, row_number() OVER (PARTITION BY l.recording_id, word ORDER BY greatest(0, 2 * start_ms - ws - we, ws + we - 2 * end_ms), start_ms, end_ms, speaker, s.seq) AS r
   FROM lone l JOIN s USING (recording_id)
 ), best AS (
   SELECT * FROM o WHERE r = 1 UNION ALL SELECT * FROM n WHERE r = 1
 )
 SELECT w.recording_id, w.word, coalesce(b.speaker, 'S1') AS speaker, b.seq AS segment_seq FROM w LEFT JOIN best b ON w.recording_id = b.recording_id AND w.word = b.word"""
 
+_TURNS = r"""WITH t AS (
+  SELECT conv_id::VARCHAR AS recording_id, turn AS segment, turn * 5000 AS began, coalesce(role, 'S1') AS role,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM conversations
+), seg AS (
+  SELECT recording_id, segment, role AS speaker, began + 700 AS s, began + 4000 AS e FROM t
+), w AS (
+  SELECT recording_id, segment, place - 1 AS place, began + 400 * (place - 1) AS ws, began + 400 * (place - 1) + 350 AS we, ws[place] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS place FROM t)
+), o AS (
+  SELECT w.*, greatest(0, least(we, e) - greatest(ws, s)) AS shared, greatest(0, 2 * s - ws - we, ws + we - 2 * e) AS far, s, e, speaker, seg.segment AS q FROM w JOIN seg ON w.recording_id = seg.recording_id
+), p AS (
+  SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY recording_id, segment, place ORDER BY shared DESC, far, s, e, speaker, q) = 1
+), c AS (
+  SELECT *, (speaker IS DISTINCT FROM lag(speaker) OVER v)::INT AS changed FROM p WINDOW v AS (PARTITION BY recording_id ORDER BY ws, we, word, segment, place)
+), r AS (
+  SELECT *, sum(changed) OVER (PARTITION BY recording_id ORDER BY ws, we, word, segment, place ROWS UNBOUNDED PRECEDING) AS run FROM c
+), b AS (
+  SELECT *, max(we) OVER (PARTITION BY recording_id, run ORDER BY ws, we, word, segment, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM r
+), i AS (
+  SELECT *, sum((top IS NULL OR ws > top + 1000)::INT) OVER (PARTITION BY recording_id ORDER BY ws, we, word, segment, place ROWS UNBOUNDED PRECEDING) AS island FROM b
+), l AS (
+  SELECT *, lag(word) OVER (PARTITION BY recording_id, island ORDER BY ws, we, word, segment, place) AS prior FROM i
+), j AS (
+  SELECT *, CASE WHEN prior IS NULL OR place > 0 OR regexp_matches(prior, '[.!?]$') OR NOT regexp_matches(word, '^\p{Lu}') OR word = 'I' OR regexp_matches(word, '^\p{Lu}{2,}(\P{L}|$)')
+    THEN word ELSE lower(word[1]) || word[2:] END AS piece FROM l
+)
+SELECT recording_id, min(ws) AS start_ms, max(we) AS end_ms, any_value(speaker) AS speaker, string_agg(piece, ' ' ORDER BY ws, we, word, segment, place) AS text, 'en' AS language, count(*) AS n_words
+FROM j GROUP BY recording_id, island"""
+
 QUERIES = {
     "turns_merge_gap": (turns_merge_gap, f"{_HEAD} SELECT recording_id, speaker, start_ms, end_ms, n_turns FROM blocks"),
     "interruptions_by_speaker": (interruptions_by_speaker, f"WITH {SEGMENTS}, {INTERRUPTIONS} SELECT * FROM ints"),
@@ -113,4 +147,5 @@ QUERIES = {
 ) SELECT recording_id, sum(greatest(0, least(coalesce(pe, 0), end_ms) - start_ms))::BIGINT AS overlap_ms FROM p GROUP BY 1""",
     ),
     "word_speakers": (word_speakers, _WORDS),
+    "word_turns": (word_turns, _TURNS),
 }

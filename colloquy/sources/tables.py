@@ -39,6 +39,22 @@ def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), "start_ms", "end_ms", "text")
 
 
+def asr_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as recognised speech: a segment every five seconds, a word every 400 ms, so that long ones run into the next."""
+    at = F.col("turn") * 5000
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    timed = F.transform(words, lambda w, k: F.struct((at + k * 400).alias("start_ms"), (at + k * 400 + 350).alias("end_ms"), w.alias("word")))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").alias("seq"), at.alias("start_ms"), (at + F.size(words) * 400).alias("end_ms"), "text", timed.alias("words"), F.lit(None).cast("string").alias("language"))
+
+
+def role_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as diarization: each turn's role speaks for 3.3 of its five seconds."""
+    at = F.col("turn") * 5000
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").cast("string").alias("recording_id"), F.col("turn").alias("seq"), F.coalesce("role", F.lit("S1")).alias("speaker"), (at + 700).alias("start_ms"), (at + 4000).alias("end_ms"), "text")
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as jobs of customers' recordings."""
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "started").when(F.col("o_orderstatus") == "F", "finished")
