@@ -38,8 +38,8 @@ from colloquy.llm.components import connected_components
 
 SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of a text that are hashed at a time.
+PART = 1 << 20
 #: Members up to which an inverted list simply gives its pairs: the pairs stay in proportion to the members.
 SHORT_LIST = 48
 #: Of the second round: hubs of each class of sizes in a longer list, and lists in which a node meets them, its longest.
@@ -48,34 +48,64 @@ HUBS, LISTS = 16, 4
 FILTER_BITS = 1 << 23
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * MIX_A
     x = (x ^ (x >> np.uint64(29))) * MIX_B
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
-    tokens = text.encode().lower().split()
-    if not tokens:
+#: A number for every byte, which of them separate words, and powers of an odd base and of its inverse modulo 2^64.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * MIX_B)
+SEPARATES = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers, or more; a worker keeps them."""
+    if len(_powers[0]) < n:
+        n = max(n, 2 * len(_powers[0]))
+        for k, base in enumerate((int(MIX_A), pow(int(MIX_A), -1, 1 << 64))):
+            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, base, np.uint64))])
+    return _powers
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a lower-cased text's words: a polynomial of the word's bytes, mixed with its length.
+
+    All words of a part of the text come from one running sum, taken back to each word's start by the inverse base.
+    """
+    found, at = [], 0
+    while at < len(text):
+        end = at + PART
+        while end < len(text) and not SEPARATES[text[end]]:
+            end += 1  # a word isn't cut
+        part = np.frombuffer(text, np.uint8)[at:end]
+        at = end
+        gap = np.concatenate([[True], SEPARATES[part], [True]])
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        up, down = powers(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * up[: len(part)], out=total[1:])
+        found.append(mixed((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64)))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included; a text of fewer words is one shingle."""
+    h = word_hashes(text.encode().lower())
+    if not len(h):
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(words, len(tokens))
-    value = np.full(len(tokens) - width + 1, width, np.uint64)
+    width = min(words, len(h))
+    value = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
-        value = mixed(value ^ h[i : len(tokens) - width + 1 + i])
-    return np.unique(value.view(np.int64))
+        value = mixed(value ^ h[i : len(h) - width + 1 + i])
+    return value.view(np.int64)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(shingles(text, words))
 
 
 def set_hash(values: np.ndarray) -> int | None:

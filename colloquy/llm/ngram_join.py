@@ -35,36 +35,38 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import drop_written, id_text, map_batches, sliced, written
 from colloquy.llm.components import connected_components
-from colloquy.llm.near_duplicates import HUBS, SHORT_LIST, confirmed, full_sets, hub_pairs, mixed, open_members, remaining_pairs, set_hash, shingle_set, with_components
+from colloquy.llm.near_duplicates import HUBS, SHORT_LIST, confirmed, full_sets, hub_pairs, mixed, open_members, remaining_pairs, set_hash, shingle_set, shingles, with_components
 
 #: Of each order the number that its hashes start from. The first order makes the lists.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 #: Counters of the table of frequencies, and those that one row carries between tasks.
-COUNTERS, CHUNK = 1 << 19, 1 << 14
+COUNTERS, CHUNK = 1 << 22, 1 << 16
 PREFIXED = "doc_id long, n_shingles long, node long, first array<long>, second array<int>, third array<int>"
 
 
 def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
-    """For each of COUNTERS hash classes the logarithm of how many sets hold its tokens, over all documents.
+    """For each of COUNTERS hash classes how often its tokens occur in all documents, on a logarithmic scale of 256 steps.
 
     A task counts in a table of fixed size; chunks of the tables are added up where each chunk's rows
-    meet, a row at a time.
+    meet, a row at a time. Counts only order tokens: where many tokens share a counter, lists get longer, not wrong.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.int32)
         for batch in sliced(batches, 1024):
             for text in batch["text"].to_pylist():
-                np.add.at(total, shingle_set(text, words) & (COUNTERS - 1), 1)
+                np.add.at(total, shingles(text, words) & (COUNTERS - 1), 1)
         at = [k for k in range(0, COUNTERS, CHUNK) if total[k : k + CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[k : k + CHUNK].tobytes() for k in at], pa.binary())], ["at", "counts"])
+        small = np.uint8 if total.max(initial=0) < 256 else np.int32
+        for k in at:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + CHUNK].astype(small).tobytes()], pa.binary())], ["at", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, counts in zip(batch["at"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                total[at] = total.get(at, 0) + np.frombuffer(counts, np.int64)
-        classes = [np.frexp(t.astype(float))[1].astype(np.uint8).tobytes() for t in total.values()]
+                total[at] = total.get(at, 0) + np.frombuffer(counts, np.uint8 if len(counts) == CHUNK else np.int32).astype(np.int64)
+        classes = [scale(t).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(classes, pa.binary())], ["at", "classes"])
 
     counted = rows.select("text").mapInArrow(count, "at long, counts binary")
@@ -74,6 +76,10 @@ def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def scale(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(counts + 1) * 12, 255).astype(np.uint8)
+
+
 def prefix(values: np.ndarray, classes: np.ndarray, percent: int, start: int) -> np.ndarray:
     """The tokens of the prefix in one order, in that order; equal hashes go by the token itself."""
     n = len(values)

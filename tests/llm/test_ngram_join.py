@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy.llm import near_duplicates
 from colloquy.llm import ngram_join as nj
 from colloquy.llm.common import table
-from colloquy.llm.near_duplicates import shingle_set
+from colloquy.llm.near_duplicates import shingle_set, shingles
 from tests.conftest import SF
 from tests.llm.test_llm_operators import ODD
 
@@ -110,5 +111,18 @@ def test_frequency_classes_count_all_documents(spark):
     got = nj.frequency_classes(docs.select(F.coalesce("text", F.lit("")).alias("text")), 3)
     want = np.zeros(nj.COUNTERS, int)
     for r in docs.collect():
-        np.add.at(want, shingle_set(r["text"] or "", 3) & (nj.COUNTERS - 1), 1)
-    assert (got == np.frexp(want.astype(float))[1]).all()
+        np.add.at(want, shingles(r["text"] or "", 3) & (nj.COUNTERS - 1), 1)
+    assert (got == nj.scale(want)).all()
+
+
+def test_words_are_hashed_as_they_are_split(monkeypatch):
+    texts = [t or "" for t in ODD] + ["a\x0bb\x1cc d\x85e\u00a0f", "  x", "same same other same", "ab ba a b"]
+    known = {}
+    for part in (1 << 20, 3):
+        monkeypatch.setattr(near_duplicates, "PART", part)
+        for t in texts:
+            ws, got = t.encode().lower().split(), near_duplicates.word_hashes(t.encode().lower())
+            assert len(ws) == len(got)
+            for w, h in zip(ws, got.tolist()):
+                assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
