@@ -17,7 +17,8 @@ that join the node they begin with to the one they end with; an edge's weight is
 Words are coded as numbers: the COMMON most frequent ones by their rank, others by a hash of language
 and word, and words that are certainly rarer than ``least`` by RARE, since no run around them can reach ``least``.
 That they are rare is told by a table of bits, sized by the words that are not; a word it can't rule out is only
-counted in vain. Should two words that reach ``least`` have the same code, the query fails rather than add them up.
+counted in vain. In the same way a counted table of the hashes of two and three words tells which of these can't reach ``least``: what
+follows them is RARE, too, so that edges that no result needs are added up where they are met, and only flow on. Should two words that reach ``least`` have the same code, the query fails rather than add them up.
 
 Defined results: null texts are empty; a null language is ``und``; pieces and texts of any length are
 read whole; repeated rows and null ids count like others; equal scores and counts go by the phrase; without
@@ -41,6 +42,8 @@ from colloquy.llm.common import drop_written, sliced, written
 COMMON, RARE, END, HASHED = 1 << 16, 0, 1, 1 << 62
 #: Words that a task adds up at a time, and bits of the table of not rare words, per word and at most.
 AT_ONCE, BITS_EACH, MOST_BITS = 1_500_000, 16, 1 << 25
+#: Most counters of the table that tells which runs may be frequent.
+MOST_COUNTERS = 1 << 24
 SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 GRAM = ["w1", "w2", "w3", "w4"]
 
@@ -128,18 +131,35 @@ def not_rare(words: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def added_up(codes: np.ndarray) -> pa.RecordBatch:
-    """The longest grams that begin at each coded word, with how often each occurs. What follows an END or a RARE is the same."""
+def longest_grams(codes: np.ndarray) -> list[np.ndarray]:
+    """The longest grams that begin at each coded word, by columns. What follows an END or a RARE is the same."""
     codes = np.concatenate([codes, np.full(3, END, np.int64)])
-    n = len(codes) - 3
-    starts = np.flatnonzero(codes[:n] > END)
+    starts = np.flatnonzero(codes[:-3] > END)
     gram = [codes[starts]]
     for k in range(1, 4):
         gram.append(np.where(gram[-1] > END, codes[starts + k], gram[-1]))
-    key = np.zeros(len(starts), np.uint64)
+    return gram
+
+
+def run_hashes(gram: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the grams' first one, two, three and four words."""
+    out, key = [], np.zeros(len(gram[0]), np.uint64)
     for g in gram:
         key = (key ^ g.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
+        key = key ^ (key >> np.uint64(32))
+        out.append(key)
+    return out
+
+
+def added_up(codes: np.ndarray, runs: np.ndarray) -> pa.RecordBatch:
+    """The longest grams with how often each occurs. Behind a run that can't reach ``least`` all is RARE."""
+    gram = longest_grams(codes)
+    for k, h in enumerate(run_hashes(gram)[1:3], 1):
+        at = h & np.uint64(len(runs) * 64 - 1)
+        rare = (gram[k] > END) & (runs[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 0)
+        for g in gram[k:]:
+            g[rare] = RARE
+    key = run_hashes(gram)[-1]
     by = np.argsort(key)
     gram = [g[by] for g in gram]
     new = np.ones(len(by), bool)
@@ -148,24 +168,61 @@ def added_up(codes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(g[first]) for g in gram), pa.array(np.diff(np.append(first, len(by))))], [*GRAM, "c"])
 
 
-def edges(rows: DataFrame, coder: Coder) -> DataFrame:
-    """(w1, w2, w3, w4, c): the longest gram that begins at each word, added up in batches."""
+def coded(batches: Iterable[pa.RecordBatch], coder: Coder) -> Iterator[np.ndarray]:
+    """Codes of whole texts, each text ended by END, about AT_ONCE at a time."""
+    held, n = [], 0
+    for lang, texts in batches_by_language(batches):
+        code = coder.of(lang)
+        for text in texts:
+            a = np.fromiter(map(code.__getitem__, tokens(text)), np.int64)
+            held += [a, np.array([END], np.int64)]
+            n += len(a)
+        if n > AT_ONCE:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
 
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for lang, texts in batches_by_language(batches):
-            code = coder.of(lang)
-            for text in texts:
-                a = np.fromiter(map(code.__getitem__, tokens(text)), np.int64)
-                held += [a, np.array([END], np.int64)]
-                n += len(a)
-            if n > AT_ONCE:
-                yield added_up(np.concatenate(held))
-                held, n = [], 0
-        if held:
-            yield added_up(np.concatenate(held))
 
-    return rows.mapInArrow(read, "w1 long, w2 long, w3 long, w4 long, c long")
+def not_rare_runs(rows: DataFrame, coder: Coder, least: int, n_words: int) -> np.ndarray:
+    """Bits of the hashes of runs of two and three words that may occur ``least`` times, in 64-bit words.
+
+    Hashes are counted in a table of a size that follows the words, up to MOST_COUNTERS: a task passes on counts up to
+    ``least``, chunk by chunk, and chunks are added up where they meet. A full table only saves less.
+    """
+    size = 1 << 12
+    while size < min(n_words // 8, MOST_COUNTERS):
+        size *= 2
+    chunk = min(size, 1 << 16)
+    small = np.uint8 if least < 256 else np.int64
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int32)
+        for codes in coded(batches, coder):
+            gram = longest_grams(codes)
+            for k, h in enumerate(run_hashes(gram)[1:3], 1):
+                np.add.at(total, (h[gram[k] > END] & np.uint64(size - 1)).astype(np.int64), 1)
+        for k in range(0, size, chunk):
+            if (part := total[k : k + chunk]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.minimum(part, least).astype(small).tobytes()], pa.binary())], ["at", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch["at"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                total[at] = np.minimum(total.get(at, 0) + np.frombuffer(counts, small).astype(np.int64), least)
+        bits = [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(bits, pa.binary())], ["at", "bits"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows.mapInArrow(count, "at long, counts binary").repartition("at").mapInArrow(add, "at long, bits binary").collect():
+        out[r["at"] // 8 : (r["at"] + chunk) // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out.view(np.uint64)
+
+
+def edges(rows: DataFrame, coder: Coder, runs: np.ndarray) -> DataFrame:
+    """(w1, w2, w3, w4, c): the longest gram that begins at each word, added up in batches."""
+    return rows.mapInArrow(lambda batches: (added_up(codes, runs) for codes in coded(batches, coder)), "w1 long, w2 long, w3 long, w4 long, c long")
 
 
 def frequent_runs(found: DataFrame, least: int) -> DataFrame:
@@ -255,7 +312,8 @@ class Graph:
         frequent = self.words.where(F.col("f") >= least)
         common = frequent.orderBy(F.desc("f"), "lang", "word").limit(COMMON).select("lang", "word").collect()
         coder = Coder([tuple(r) for r in common], not_rare(frequent))
-        self.runs = written(frequent_runs(edges(rows, coder), least), "runs")
+        n_words = self.words.agg(F.sum("f")).first()[0] or 0
+        self.runs = written(frequent_runs(edges(rows, coder, not_rare_runs(rows, coder, least, n_words)), least), "runs")
         self.names = written(named(coder, frequent), "names")
 
     def phrases(self, rows: DataFrame, column: str) -> DataFrame:

@@ -77,6 +77,7 @@ def test_few_common_words_and_bits(spark, monkeypatch):
     monkeypatch.setattr(co, "COMMON", 3)
     monkeypatch.setattr(co, "AT_ONCE", 100)
     monkeypatch.setattr(co, "MOST_BITS", 64)
+    monkeypatch.setattr(co, "MOST_COUNTERS", 64)
     assert run(spark, made(), 4, first=7, percent=95) == by_hand(made(), 4, 95, 7)
 
 
