@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.asof import as_of
 from colloquy.functions.intervals import duration, in_buckets, islands, overlap
+from colloquy.functions.lineage import cut
 from colloquy.functions.scalars import joined_piece, language_code, stripped
 
 ORDER = ["start_ms", "end_ms", "speaker", "seq"]
@@ -70,7 +71,8 @@ def assign_speakers(words: DataFrame, segments: DataFrame, *, bucket: int = 600_
     met = w.join(s, ["recording_id", "bucket"]).where((shared > 0) | around)
     by_overlap = met.groupBy("recording_id", "word").agg(F.min_by("segment", F.struct(-shared, "segment")).alias("segment"))
     every = words.select("recording_id", F.col("seq").alias("word"), "start_ms", "end_ms")
-    rest = every.join(by_overlap, ["recording_id", "word"], "left_anti")
+    by_overlap = cut(by_overlap)
+    rest = cut(every.join(by_overlap, ["recording_id", "word"], "left_anti"))
     return every.join(by_overlap.union(nearest_edges(rest, segments)), ["recording_id", "word"], "left").select(
         "recording_id", "word", F.coalesce("segment.speaker", F.lit("S1")).alias("speaker"), F.col("segment.seq").alias("segment_seq")
     )
@@ -83,7 +85,7 @@ def nearest_edges(words: DataFrame, segments: DataFrame) -> DataFrame:
     ends = segments.select("recording_id", (F.col("end_ms") * 2).alias("middle"), held)
     starts = segments.select("recording_id", (F.col("start_ms") * 2).alias("middle"), held)
     found = as_of(asked, ends, ["recording_id"], at="middle", value="segment", out="low")
-    found = as_of(found, starts, ["recording_id"], at="middle", value="segment", out="high", after=True)
+    found = as_of(cut(found), starts, ["recording_id"], at="middle", value="segment", out="high", after=True)
     low = F.when(F.col("low").isNotNull(), F.struct((F.col("middle") - F.col("low.end_ms") * 2).alias("far"), F.col("low").alias("segment")))
     high = F.when(F.col("high").isNotNull(), F.struct((F.col("high.start_ms") * 2 - F.col("middle")).alias("far"), F.col("high").alias("segment")))
     return found.select("recording_id", "word", F.least(low, high)["segment"].alias("segment"))
@@ -138,7 +140,7 @@ def word_turns(asr_segments: DataFrame, speaker_segments: DataFrame, *, default_
     numbered = words.withColumn("seq", number)
     said = assign_speakers(numbered.select("recording_id", "seq", "start_ms", "end_ms"), speaker_segments)
     said = numbered.drop("seq").join(said.select("recording_id", F.col("word.segment").alias("segment"), F.col("word.place").alias("place"), "speaker"), ["recording_id", "segment", "place"])
-    rows = islands(said, ["recording_id"], SPOKEN, gap=gap_ms, same=["speaker"], bucket=bucket)
+    rows = islands(cut(said), ["recording_id"], SPOKEN, gap=gap_ms, same=["speaker"], bucket=bucket)
     turn = Window.partitionBy("recording_id", "island").orderBy(*SPOKEN)
     before = F.lag("word").over(turn)
     piece = F.when(before.isNotNull() & F.col("segment_start"), joined_piece(before, F.col("word"))).otherwise(F.col("word"))

@@ -127,11 +127,22 @@ _RUNS = """rn AS (
   SELECT recording_id, speaker, max(n) AS max_run FROM rn GROUP BY 1, 2
 )"""
 _SNIPPETS = f"""WITH {SEGMENTS}, {_UNION}, b AS (
-  SELECT *, greatest(0, start_ms - 250) AS bs, greatest(0, end_ms + 250) AS be FROM seg
+  SELECT *, greatest(0, start_ms - 250) AS bs, greatest(0, start_ms - 250, end_ms + 250) AS be FROM seg
 ), c AS (
   SELECT *, CASE WHEN be - bs > 8000 THEN greatest(0, (start_ms + end_ms) // 2 - 4000) ELSE bs END AS cs FROM b
-), cl AS (
+), c0 AS (
   SELECT recording_id, speaker, seq, start_ms, end_ms, cs, CASE WHEN be - bs > 8000 THEN cs + 8000 ELSE be END AS ce FROM c
+), ow AS (
+  SELECT p.recording_id, p.speaker, s, e, max(e) OVER (PARTITION BY p.recording_id, p.speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+  FROM (SELECT DISTINCT recording_id, speaker FROM seg) p JOIN u ON u.recording_id = p.recording_id AND u.speaker <> p.speaker
+), oi AS (
+  SELECT *, sum((pe IS NULL OR s > pe)::INT) OVER (PARTITION BY recording_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM ow
+), ot AS (
+  SELECT recording_id, speaker, min(s) AS s, max(e) AS e FROM oi GROUP BY recording_id, speaker, k
+), cl AS (
+  SELECT c0.recording_id, c0.speaker, seq, start_ms, end_ms, coalesce(x.e, cs) AS cs, greatest(coalesce(x.e, cs), coalesce(y.s, ce)) AS ce
+  FROM c0 LEFT JOIN ot x ON x.recording_id = c0.recording_id AND x.speaker = c0.speaker AND x.s <= cs AND cs < x.e
+    LEFT JOIN ot y ON y.recording_id = c0.recording_id AND y.speaker = c0.speaker AND y.s < ce AND ce <= y.e
 ), ov AS (
   SELECT cl.recording_id, cl.seq, greatest(cs, s) AS s, least(ce, e) AS e FROM cl JOIN u ON cl.recording_id = u.recording_id AND cl.speaker <> u.speaker AND s < ce AND e > cs
 ), ov2 AS (
