@@ -58,24 +58,47 @@ def compare_and_set(recordings: DataFrame, new_status: str, current: Sequence[st
     return out.drop("_only", "_unless")
 
 
-#: From which state each job command may go to which.
-JOB_MOVES = {"start": (("queued",), "started"), "requeue": (("started", "failed", "finished"), "queued"), "finish": (("started",), "finished"), "fail": (("queued", "started"), "failed")}
+#: The state that each job command sets, and the states it must find; None for any.
+JOB_MOVES = {
+    "start": ("started", ("queued",)),
+    "requeue": ("queued", None),
+    "requeue_if_started": ("queued", ("started",)),
+    "finish": ("finished", None),
+    "finish_if_queued": ("finished", ("queued",)),
+    "finish_if_started": ("finished", ("started",)),
+    "fail": ("failed", None),
+    "fail_if_queued": ("failed", ("queued",)),
+    "fail_if_started": ("failed", ("started",)),
+}
 
 
 def apply_job_commands(jobs: DataFrame, commands: DataFrame) -> DataFrame:
-    """Jobs after one command each (id, command): those not allowed from a job's state do nothing. A start counts an attempt."""
-    rows = jobs.join(commands.select("id", "command"), "id", "left")
-    status, attempt = F.col("status"), F.col("attempt") if "attempt" in jobs.columns else None
-    moved = F.lit(False)
-    for name, (before, after) in JOB_MOVES.items():
-        ok = (F.col("command") == name) & F.col("status").isin(*before)
-        status, moved = F.when(ok, after).otherwise(status), moved | F.coalesce(ok, F.lit(False))
-        if name == "start" and attempt is not None:
-            attempt = attempt + F.when(ok, 1).otherwise(0)
-    out = rows.withColumn("moved", moved)
-    if attempt is not None:
-        out = out.withColumn("attempt", attempt)
-    return out.withColumn("status", status).drop("command")
+    """Jobs after one command each (id, command, and if wanted at, error): those not allowed from a job's state do nothing.
+
+    A start counts an attempt, sets the start and clears error and end; a requeue clears both times and writes its error;
+    the others write their error and the end. Only columns that jobs have are written.
+    """
+    given = [c for c in ("at", "error") if c in commands.columns]
+    rows = jobs.join(commands.select("id", "command", *[F.col(c).alias(f"_{c}") for c in given]), "id", "left")
+    moved, status = F.lit(False), F.col("status")
+    for name, (after, found) in JOB_MOVES.items():
+        ok = (F.col("command") == name) & (F.col("status").isin(*found) if found else F.col("status").isNotNull())
+        moved, status = moved | F.coalesce(ok, F.lit(False)), F.when(ok, after).otherwise(status)
+    rows = rows.withColumn("moved", moved).withColumn("_after", status)
+    at, error = (F.col(f"_{c}") if c in given else F.lit(None) for c in ("at", "error"))
+    starts, requeues = F.col("_after") == "started", F.col("_after") == "queued"
+    new = {
+        "attempt": lambda c: c + F.when(starts, 1).otherwise(0),
+        "error": lambda c: F.when(~starts, error),
+        "started_at": lambda c: F.when(starts, at).when(~requeues, c),
+        "finished_at": lambda c: F.when(~starts & ~requeues, at),
+        "updated_at": lambda c: F.coalesce(at, c),
+    }
+    for name, value in new.items():
+        if name in jobs.columns:
+            kind = jobs.schema[name].dataType
+            rows = rows.withColumn(name, F.when(F.col("moved"), value(F.col(name)).cast(kind)).otherwise(F.col(name)))
+    return rows.withColumn("status", F.col("_after")).drop("command", "_after", *[f"_{c}" for c in given])
 
 
 def stage_transitions(states: DataFrame, marks: DataFrame) -> DataFrame:

@@ -33,7 +33,11 @@ def guess(text: Column) -> dict[str, Column]:
 
 
 def segment_language(override: Column, given: Column, given_confidence: Column, detected: Column, text: Column, *, prefer_detected: bool = True) -> dict[str, Column]:
-    """A segment's language: an override, its own, the detected one if preferred, a guess, the detected one, else unknown."""
+    """A segment's language: an override, its own, the detected one if preferred, a guess, the detected one, else unknown.
+
+    A sure guess conflicts with a segment's own language, or with the detected one that it is taken before. The detected one
+    is certain only where it is preferred and no guess differs.
+    """
     g = guess(text)
     source = (
         F.when(override.isNotNull(), "override")
@@ -45,8 +49,14 @@ def segment_language(override: Column, given: Column, given_confidence: Column,
     )
     language = F.coalesce(override, given, F.when(F.lit(prefer_detected), detected), g["language"], detected, F.lit("unknown"))
     confidence = F.when(source == "override", 1.0).when(source == "segment", F.coalesce(given_confidence, F.lit(0.95))).when(source == "guess", g["confidence"])
-    conflict = (source != "override") & g["language"].isNotNull() & (g["confidence"] >= SURE) & (g["language"] != language)
-    uncertain = (source == "unknown") | F.coalesce(confidence < SURE, F.lit(False)) | conflict
+    sure = g["language"].isNotNull() & (g["confidence"] >= SURE)
+    own = (source == "segment") & sure & (g["language"] != given)
+    against = (source == "guess") & sure & F.coalesce(g["language"] != detected, F.lit(False))
+    conflict = F.coalesce(own | against, F.lit(False))
+    differs = F.coalesce(g["language"] != detected, F.lit(False))
+    unsure = F.coalesce(confidence < SURE, F.lit(True))
+    preferred = F.lit(prefer_detected) & (source == "detected")
+    uncertain = F.when(source == "override", False).when(source == "segment", unsure | own).when(preferred, differs).when(source == "guess", unsure).otherwise(True)
     return {"language": language, "language_source": source, "language_confidence": confidence, "uncertain": uncertain, "conflict": conflict}
 
 

@@ -73,8 +73,8 @@ def without_started_job(recordings: DataFrame, jobs: DataFrame, statuses: Sequen
 
 
 def active_job(jobs: DataFrame) -> DataFrame:
-    """Each recording's active job: started before queued, then the latest, then the highest id."""
-    key = F.struct(F.when(F.col("status") == "started", 1).otherwise(0), "created_at", "id")
+    """Each recording's active job: started before queued, then the last updated, the last created, the highest id."""
+    key = F.struct(F.when(F.col("status") == "started", 1).otherwise(0), "updated_at", "created_at", "id")
     return jobs.where(F.col("status").isin("started", "queued")).groupBy("recording_id").agg(F.max_by(F.struct("id", "type", "status"), key).alias("job")).select("recording_id", "job.*")
 
 

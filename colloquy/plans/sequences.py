@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import scalars
 from colloquy.operators import folding, reports
 from colloquy.sources.tables import conversation_turns, jobs, recordings, segments, table
-from colloquy.streaming import windows
+from colloquy.streaming import reaper, windows
 
 
 def turns_short_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,23 @@ def tumbling_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.date_format("start_ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("windows"), F.sum("frames").alias("frames"), F.sum("loud").alias("loud"), F.max("frames").alias("most"))
 
 
+def stuck_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' purchases as starts of jobs, their sign-ups and errors as ends: starts without either within twelve hours."""
+    rows = windows.event_batch(spark, sf_dir).where("event_type IN ('purchase', 'signup', 'error')")
+    command = F.when(F.col("event_type") == "purchase", "start").otherwise("end")
+    until = rows.agg(F.max("ts")).first()[0]
+    found = reaper.recovered(rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", command.alias("command")), "12 HOUR", until=F.lit(until))
+    ntz = lambda c: F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias(c)
+    return found.select("job_id", ntz("started_at"), ntz("recovered_at"))
+
+
 QUERIES = {
+    "stuck_jobs": (
+        stuck_jobs,
+        """WITH c AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'signup', 'error'))
+SELECT user_id AS job_id, ts AS started_at, ts + INTERVAL 12 HOUR AS recovered_at FROM c
+WHERE event_type = 'purchase' AND (n > ts + INTERVAL 12 HOUR OR n IS NULL AND ts + INTERVAL 12 HOUR < (SELECT max(ts) FROM c))""",
+    ),
     "turns_short_merge": (turns_short_merge, None),
     "turns_smooth": (turns_smooth, None),
     "compact_transcript": (compact_transcript, None),

@@ -56,7 +56,7 @@ def role_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as jobs of customers' recordings."""
+    """``orders`` as jobs of customers' recordings, updated up to 40 days after they were made."""
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "started").when(F.col("o_orderstatus") == "F", "finished")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
@@ -65,6 +65,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         status.alias("status"),
         F.col("o_orderdate").alias("started_at"),
         F.col("o_orderdate").alias("created_at"),
+        (F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 41).cast("int"))).alias("updated_at"),
     )
 
 
