@@ -9,10 +9,10 @@ fixed size.
    prefixes, the first n - ceil(percent * n) + 1 tokens. Inverted lists of the first order's prefixes
    bring nodes together.
 2. A list's members meet hubs of like size in place of each other. A pair goes on only if its prefixes
-   also share a token under all other orders, and links are confirmed on the full sets.
-3. What is left are lists that still hold several components. Long ones are split by the tokens of
-   the second and then of the third order's prefixes: in each part the members share a prefix token
-   under each of those orders. All pairs of different components left, of sizes and places that allow it,
+   share a token under all orders, and links are confirmed on the full sets.
+3. What is left are lists that still hold several components. Members of short ones meet there. Members of long
+   ones meet in the second order's lists instead, made for them alone, and those of long lists among these in the third
+   order's: a link is in the lists of every order. All pairs of different components that meet, of sizes and places that allow it,
    are filtered and confirmed in the same way, so no link between components is lost.
 4. Components of the links give each document its class.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import drop_written, id_text, map_batches, sliced, written
@@ -57,9 +57,10 @@ def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
             for text in batch["text"].to_pylist():
                 np.add.at(total, shingles(text, words) & (COUNTERS - 1), 1)
         at = [k for k in range(0, COUNTERS, CHUNK) if total[k : k + CHUNK].any()]
-        small = np.uint8 if total.max(initial=0) < 256 else np.int32
         for k in at:
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + CHUNK].astype(small).tobytes()], pa.binary())], ["at", "counts"])
+            part = total[k : k + CHUNK]
+            part = part.astype(np.uint8) if part.max() < 256 else part
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["at", "counts"])
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -122,18 +123,23 @@ def lists(nodes: DataFrame) -> DataFrame:
 
 
 def in_all_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes share a token under each of the other orders."""
+    """The pairs (a, b) whose prefixes share a token under every order."""
+    orders = ("first", "second", "third")
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("second").alias(f"second_{side}"), F.col("third").alias(f"third_{side}")), side)
-    return pairs.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
+    for o in orders:
+        pairs = pairs.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
+    return pairs.select("a", "b")
 
 
-def split(open_lists: DataFrame, nodes: DataFrame, order: str) -> DataFrame:
-    """The lists' parts of several members, one for each token of the members' prefixes in another order."""
-    tokens = nodes.select("node", F.explode(order).alias("token"))
-    met = open_lists.join(tokens, "node")
-    part: Column = F.xxhash64("v", "token")
-    return met.select(part.alias("v"), "node", "n", "place", "central")
+def lists_of(nodes: DataFrame, wanted: DataFrame, order: str) -> DataFrame:
+    """As ``lists``, of the wanted nodes alone, by the prefixes of another order."""
+    tokens = nodes.join(wanted, "node", "left_semi").select("node", "n", F.posexplode(order).alias("place", "v"))
+    return tokens.select(F.col("v").cast("long").alias("v"), "node", "n", F.col("place").cast("long").alias("place"), F.lit(0).cast("long").alias("central"))
+
+
+def in_long_lists(members: DataFrame) -> DataFrame:
+    return members.where(F.col("m") > SHORT_LIST).select("node").distinct()
 
 
 def linked_nodes(rows: DataFrame, postings: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -159,8 +165,8 @@ def linked_nodes(rows: DataFrame, postings: DataFrame, nodes: DataFrame, words:
     members = open_members(postings, components)
     confirm(hub_pairs(members.where(F.col("m") > SHORT_LIST), percent, HUBS))
     first = open_members(members.drop("component", "m"), components)
-    second = open_members(split(first.where(F.col("m") > SHORT_LIST), nodes, "second"), components)
-    third = open_members(split(second.where(F.col("m") > SHORT_LIST), nodes, "third"), components)
+    second = open_members(lists_of(nodes, in_long_lists(first), "second"), components)
+    third = open_members(lists_of(nodes, in_long_lists(second), "third"), components)
     short = [part.where(F.col("m") <= SHORT_LIST) for part in (first, second)]
     confirm(remaining_pairs(short[0], percent).union(remaining_pairs(short[1], percent)).union(remaining_pairs(third, percent)).distinct())
     drop_written(members, first, second, third)
@@ -182,7 +188,7 @@ def ngram_join(
     nodes = nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "first", "second", "third")])
     nodes = written(nodes, "nodes")
     postings = lists(nodes)
-    sharing = written(nodes.select("node", "rep", "second", "third").join(postings.select("node").distinct(), "node", "left_semi"), "sharing")
+    sharing = written(nodes.select("node", "rep", "n", "first", "second", "third").join(postings.select("node").distinct(), "node", "left_semi"), "sharing")
     components = linked_nodes(rows, postings, sharing, words, percent)
     named = nodes.select("node", "rep")
     if components is not None:
