@@ -1,9 +1,8 @@
 """Toxicity by compression distance: one zstandard dictionary for toxic text, one for ordinary text.
 
 A window is two neighbouring words of the lower-cased text without its punctuation. It is compressed
-with each dictionary, and its gap is the number of bytes that the toxic one saves. Blocks of
-``BLOCK`` words are compared first; only in those for which the toxic dictionary saves ``LEAD`` bytes or more
-are the windows looked at. Text is compressed in UTF-16, which doubles what a match is worth.
+with each dictionary, and its gap is the number of bytes that the toxic one saves. Every window of every text is
+compared. Text is compressed in UTF-16, which doubles what a match is worth.
 
 Both dictionaries hold the most frequent words without such a segment, at the same distances, so that lengths
 differ only by what the classes differ in. The toxic one holds besides the segments of words (of ``LENGTHS`` characters) that are clearly more frequent in toxic documents, by ratio, count
@@ -43,8 +42,8 @@ from pyspark.sql import functions as F
 from colloquy.llm.common import bounded_sample, held_out, id_text, isotonic, map_batches
 
 BLANKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-#: Words of a block and of a window; bytes that a block must save for its windows to count.
-BLOCK, WORDS, LEAD = 4, 2, 3
+#: Words of a window, and windows that are compressed at a time.
+WORDS, AT_ONCE = 2, 200_000
 #: Gaps, in bytes, of which one is chosen to count as a hit.
 GRID = (3, 4, 5, 6, 7, 8)
 #: Characters of a segment.
@@ -99,21 +98,33 @@ class Gaps:
         return lengths(self.ordinary, parts) - lengths(self.toxic, parts)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        """The gaps of each text's windows, in blocks that reach LEAD."""
-        owner, blocks = [], []
+        """The gaps of each text's windows, all of them; equal windows of the texts are compressed once."""
+        return [np.concatenate(parts) if parts else np.zeros(0, np.int64) for parts in self._parts(texts)]
+
+    def _parts(self, texts: list[str]) -> list[list[np.ndarray]]:
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        n = 0
+
+        def settle() -> None:
+            place: dict[str, int] = {}
+            at = [np.array([place.setdefault(w, len(place)) for w in windows], np.int64) for _, windows in held]
+            gaps = self.saved([f" {w} ".encode("utf-16-le") for w in place])
+            for (k, _), x in zip(held, at, strict=True):
+                out[k].append(gaps[x])
+
         for k, text in enumerate(texts):
             words = words_of(text)
-            for at in range(0, len(words), BLOCK):
-                owner.append(k)
-                blocks.append(words[at : at + BLOCK + WORDS - 1])  # the last window reaches into the next block
-        out: list[list[int]] = [[] for _ in texts]
-        if blocks:
-            near = np.flatnonzero(self.saved([wide(b) for b in blocks]) >= LEAD)
-            parts = [(owner[i], wide(blocks[i][a : a + WORDS])) for i in near for a in range(max(1, len(blocks[i]) - WORDS + 1))]
-            if parts:
-                for (k, _), gap in zip(parts, self.saved([w for _, w in parts]).tolist(), strict=True):
-                    out[k].append(gap)
-        return [np.array(x, np.int64) for x in out]
+            windows = [" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))] if words else []
+            for i in range(0, len(windows), AT_ONCE):
+                held.append((k, windows[i : i + AT_ONCE]))
+                n += len(held[-1][1])
+                if n >= AT_ONCE:
+                    settle()
+                    held, n = [], 0
+        if held:
+            settle()
+        return out
 
 
 def statistic(gaps: np.ndarray, hit: int) -> float:
@@ -247,10 +258,14 @@ def fit_toxicity(
     held: int = 2,
     sample_per_label: int = 3000,
     sample_chars: int = 20_000,
+    ordinary_bytes: int = 24_000,
 ) -> Model:
-    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    """Fit on a bounded sample of the labelled rows outside the held-out fold.
+
+    ``ordinary_bytes`` bounds what both dictionaries share: the most frequent words of the sample, in UTF-16.
+    """
     texts = id_text(docs, id_col, text_col).where(F.length("text") <= sample_chars)
-    return train(bounded_sample(texts, labels, label_col, sample_per_label, ~held_out("doc_id", folds, held), id_col))
+    return train(bounded_sample(texts, labels, label_col, sample_per_label, ~held_out("doc_id", folds, held), id_col), ordinary_bytes)
 
 
 def toxicity(

@@ -145,21 +145,33 @@ def test_toxicity_keeps_every_toxic_word():
     assert sum(gap(w) >= model.hit for w in bad) >= 180 and not any(gap(w) >= model.hit for w in plain)
 
 
-def test_toxicity_gaps_equal_single_compressions():
+def test_toxicity_gaps_equal_single_compressions(monkeypatch):
     """Each window's gap is the difference of two compressed lengths, whatever batch it is in."""
     rng = random.Random(6)
     plain = ["".join(rng.choice("bcdfgl") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(500)]
     texts = [" ".join(rng.choices([*plain, "grubble", "snarkish"], k=n)) for n in [0, 1, 2, 31, 32, 33, 64, 65, 700]]
     gaps = toxicity.dictionaries([(" ".join([*rng.sample(plain, 40), *(["grubble", "snarkish"] if k % 2 else [])]), k % 2) for k in range(200)], 4000, 8.0, 5)
     length = lambda held, part: len(toxicity.compressor(held).compress(part))
+    monkeypatch.setattr(toxicity, "AT_ONCE", 50)
     for text, got in zip(texts, gaps.of(texts), strict=True):
-        words, want = text.split(), []
-        for at in range(0, len(words), toxicity.BLOCK):
-            block = words[at : at + toxicity.BLOCK + 1]
-            save = lambda ws: length(gaps.ordinary, toxicity.wide(ws)) - length(gaps.toxic, toxicity.wide(ws))
-            if save(block) >= toxicity.LEAD:
-                want += [save(block[k : k + 2]) for k in range(max(1, len(block) - 1))]
-        assert list(got) == want
+        words = text.split()
+        parts = [toxicity.wide(words[k : k + 2]) for k in range(max(1, len(words) - 1))] if words else []
+        assert list(got) == [length(gaps.ordinary, p) - length(gaps.toxic, p) for p in parts]
+
+
+def test_toxicity_scores_equal_a_plain_version(spark, docs):
+    """Every window of every text, one compression at a time, counted and calibrated without batches."""
+    model = toxicity.fit_toxicity(docs, table(spark, SF, "labels"))
+    some = docs.where(F.length("text") < 3000).orderBy("doc_id").limit(40)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(some, model).collect()}
+    for i, text in texts(some):
+        words, hits, top = toxicity.words_of(text), 0, 0
+        for k in range(max(1, len(words) - 1) if words else 0):
+            part = toxicity.wide(words[k : k + 2])
+            gap = len(toxicity.compressor(model.gaps.ordinary).compress(part)) - len(toxicity.compressor(model.gaps.toxic).compress(part))
+            hits, top = hits + (gap >= model.hit), max(top, gap)
+        stat = hits + min(top / 64, 0.999) if hits else 0.0
+        assert got[i] == pytest.approx(min(max(float(np.interp(stat, model.knots, model.values)), 0.0), 1.0))
 
 
 def test_toxicity_edges(spark, odd, none):
