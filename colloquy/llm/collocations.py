@@ -42,8 +42,8 @@ from colloquy.llm.common import drop_written, sliced, written
 COMMON, RARE, END, HASHED = 1 << 16, 0, 1, 1 << 62
 #: Words that a task adds up at a time, and bits of the table of not rare words, per word and at most.
 AT_ONCE, BITS_EACH, MOST_BITS = 1_500_000, 16, 1 << 25
-#: Most counters of the table that tells which runs may be frequent.
-MOST_COUNTERS = 1 << 24
+#: Most counters of the table that tells which runs may be frequent, and parts of the input that fill one.
+MOST_COUNTERS, PARTS = 1 << 24, 8
 SPLIT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 GRAM = ["w1", "w2", "w3", "w4"]
 
@@ -188,8 +188,11 @@ def not_rare_runs(rows: DataFrame, coder: Coder, least: int, n_words: int) -> np
     """Bits of the hashes of runs of two and three words that may occur ``least`` times, in 64-bit words.
 
     Hashes are counted in a table of a size that follows the words, up to MOST_COUNTERS: a task passes on counts up to
-    ``least``, chunk by chunk, and chunks are added up where they meet. A full table only saves less.
+    ``least``, chunk by chunk, and chunks are added up where they meet. A task takes up to PARTS parts of the input, as each
+    passes on a table. A full table only saves less.
     """
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(1, min(parts, max(rows.sparkSession.sparkContext.defaultParallelism, parts // PARTS))))
     size = 1 << 12
     while size < min(n_words // 8, MOST_COUNTERS):
         size *= 2
@@ -225,20 +228,12 @@ def edges(rows: DataFrame, coder: Coder, runs: np.ndarray) -> DataFrame:
     return rows.mapInArrow(lambda batches: (added_up(codes, runs) for codes in coded(batches, coder)), "w1 long, w2 long, w3 long, w4 long, c long")
 
 
-def frequent_runs(found: DataFrame, least: int) -> DataFrame:
-    """(run, f): runs of one to four words, as arrays of codes, that occur ``least`` times.
-
-    All lengths read one shuffle by node; sums for shorter runs are added up there before they move on.
-    """
-    found = found.repartition(*GRAM[:3])
-    parts = []
-    for n in (4, 3, 2, 1):
-        of = found.where(F.col(GRAM[n - 1]) > END) if n > 1 else found
-        sums = of.groupBy(*GRAM[:n]).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-        parts.append(sums.select(F.array(*GRAM[:n]).alias("run"), "f"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+def frequent_runs(summed: DataFrame, least: int) -> DataFrame:
+    """(run, f): runs of one to four words, as arrays of codes, that occur ``least`` times: edges, and what flows out of shorter runs."""
+    out = summed.where((F.col("w4") > END) & (F.col("c") >= least)).select(F.array(*GRAM).alias("run"), F.col("c").alias("f"))
+    for n in (3, 2, 1):
+        sums = summed.where(F.col(GRAM[n - 1]) > END).groupBy(*GRAM[:n]).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+        out = out.union(sums.select(F.array(*GRAM[:n]).alias("run"), "f"))
     return out
 
 
@@ -313,7 +308,10 @@ class Graph:
         common = frequent.orderBy(F.desc("f"), "lang", "word").limit(COMMON).select("lang", "word").collect()
         coder = Coder([tuple(r) for r in common], not_rare(frequent))
         n_words = self.words.agg(F.sum("f")).first()[0] or 0
-        self.runs = written(frequent_runs(edges(rows, coder, not_rare_runs(rows, coder, least, n_words)), least), "runs")
+        found = edges(rows, coder, not_rare_runs(rows, coder, least, n_words))
+        summed = written(found.groupBy(*GRAM).agg(F.sum("c").alias("c")), "edges")
+        self.runs = written(frequent_runs(summed, least), "runs")
+        drop_written(summed)
         self.names = written(named(coder, frequent), "names")
 
     def phrases(self, rows: DataFrame, column: str) -> DataFrame:
