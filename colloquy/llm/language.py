@@ -18,7 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,7 @@ class Network:
     backward: Direction
     out: np.ndarray  # 2h x languages
     bias: np.ndarray
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the least score of each language that stands
 
     def positions(self, chunks: np.ndarray, context: int) -> np.ndarray:
         """Probabilities of each core position: batch x core x languages."""
@@ -252,7 +253,20 @@ def fit_language(
     window = F.substring("text", (start + 1).cast("int"), F.lit(sample_chars))
     found = rows.join(chosen, ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min(window).alias("text")).collect()
     sample = [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"]))]
-    return train(sample)
+    return with_levels(train(sample), sample)
+
+
+def with_levels(network: Network, sample: list[tuple[str, str]]) -> Network:
+    """The network with the score below which a text isn't taken for a language: halfway between chance and the least score of
+    the training texts that it gives that language. Where no training text has it, none is too low."""
+    names, score = predict(network, [t for t, _ in sample], 256, 16)
+    at = {name: k for k, name in enumerate(network.languages)}
+    levels = np.full(len(network.languages), np.inf)
+    for name, s in zip(names, score, strict=True):
+        if name != UNDETERMINED:
+            levels[at[name]] = min(levels[at[name]], s)
+    network.levels = np.where(np.isinf(levels), 0.0, (levels + 1 / max(1, len(levels))) / 2)
+    return network
 
 
 def has_letter(text: str) -> bool:
@@ -290,14 +304,16 @@ def language(
 
 
 def drop_undetermined(docs: DataFrame, network: Network, *, text_col: str = "text", core: int = 256, context: int = 16) -> DataFrame:
-    """The rows of ``docs``, all columns, with a language: only texts without a letter, or a network without languages, go.
+    """The rows of ``docs``, all columns, whose text is in one of the learned languages as far as the network can tell.
 
-    A mean probability says how many languages are alike, not whether a text is in one, so no score is too low.
+    Texts without a letter go, and so do those whose score lies below their predicted language's level, which training texts
+    set (``with_levels``); a network without languages keeps nothing.
     """
+    levels = dict(zip(network.languages, network.levels, strict=True)) if len(network.levels) else {}
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, _ = predict(network, batch[text_col].to_pylist(), core, context)
-        return batch.filter(pa.array(np.array(names, object) != UNDETERMINED))
+        names, score = predict(network, batch[text_col].to_pylist(), core, context)
+        return batch.filter(pa.array([n != UNDETERMINED and s >= levels.get(n, 0.0) for n, s in zip(names, score, strict=True)], pa.bool_()))
 
     return map_batches(docs, keep, docs.schema, rows=512)
 

@@ -194,11 +194,24 @@ def test_language_is_learned(spark):
     assert list(got["held_out"]) == [fold(i, 3) == 1 for i in got["doc_id"]]
 
 
+def test_texts_below_every_language_go(spark):
+    """Texts of the learned languages stay, also held-out ones; those of another script, or of single letters, fall below the levels."""
+    rng = random.Random(1)
+    vocab = {"xx": ["zor", "blik", "tran", "quo"], "yy": ["ümla", "été", "ñan", "sûr"], "zz": ["каз", "мир", "тут", "да"]}
+    make = lambda n: " ".join(rng.choices(vocab[n], k=rng.randint(3, 60)))
+    df = spark.createDataFrame([(k, make(n), n) for k in range(180) for n in [rng.choice(list(vocab))]], "doc_id long, text string, lang string")
+    network = language.fit_language(df)
+    assert language.drop_undetermined(df, network).count() >= 178
+    other = spark.createDataFrame([(1, "zor " * 40 + "каз " * 20, None), (2, "... 123", None)], "doc_id long, text string, lang string")
+    assert (network.levels > 0.4).all() and language.drop_undetermined(other, network).count() == 0
+
+
 def test_every_labelled_language_is_learned(spark, monkeypatch):
     """Also the 65th, and one that is labelled in long texts alone; and no labelled text is rejected for its score."""
     rows = [(3 * k + j, f"text {k}", f"l{k:02}") for k in range(70) for j in range(3)] + [(1000 + k, "zaq " * 6000, "long") for k in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     monkeypatch.setattr(language, "train", lambda sample: sample)
+    monkeypatch.setattr(language, "with_levels", lambda network, sample: sample)
     sample = language.fit_language(df)
     free = {lang for i, _, lang in rows if fold(i, 3) != 1}
     assert {lang for _, lang in sample} == free and len(free) > 64 and "long" in free
