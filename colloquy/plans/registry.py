@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ("conversation", "diarization", "store", "timing", "meaning", "sequences")
+AREAS = ("conversation", "diarization", "store", "timing", "meaning", "sequences", "entities")
 
 
 def entries() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
