@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from colloquy.functions.intervals import in_buckets
 
@@ -64,21 +70,40 @@ def score(captured: Column, seconds: Column, starts: Column, ends: Column, text_
     return F.round(F.greatest(F.lit(0.0), F.least(raw - penalty, F.lit(1.0))), 4)
 
 
+@F.pandas_udf(StringType())
+def plain(texts: pd.Series) -> pd.Series:
+    """Lower-cased text in ASCII: accents go, and so do characters without an ASCII form."""
+    return texts.map(lambda t: unicodedata.normalize("NFKD", (t or "").strip().lower()).encode("ascii", "ignore").decode())
+
+
+def tokens(text: Column) -> Column:
+    """The distinct tokens of a text that say something about a meeting: two letters or digits or more, without accents."""
+    found = F.array_distinct(F.regexp_extract_all(plain(text), F.lit("([a-z0-9]{2,})"), F.lit(1)))
+    return F.array_except(found, F.array(*[F.lit(t) for t in STOP_TOKENS]))
+
+
 def text_match(tokens: Column, subject: Column, attendees: Column, location: Column) -> Column:
-    """0.65 for a token shared with the subject, 0.25 with attendees, 0.10 with the place."""
-    hit = lambda other: (F.size(F.array_intersect(tokens, other)) > 0).cast("double")
-    return 0.65 * hit(subject) + 0.25 * hit(attendees) + 0.10 * hit(location)
+    """0.65 for tokens shared with the subject, 0.25 with attendees, 0.10 with the place, each in part for few shared tokens.
+
+    The subject counts in full with three shared tokens, or all of a recording that has fewer; the others with two.
+    """
+    n = F.coalesce(F.size(tokens), F.lit(0))
+    shared = lambda other: F.greatest(F.size(F.array_intersect(tokens, other)), F.lit(0))
+    part = lambda other, of: F.least(F.lit(1.0), F.coalesce(shared(other) / of, F.lit(0.0)))
+    whole = 0.65 * part(subject, F.greatest(F.least(n, F.lit(3)), F.lit(1))) + 0.25 * part(attendees, F.lit(2.0)) + 0.10 * part(location, F.lit(2.0))
+    return F.when(n > 0, F.least(F.lit(1.0), whole)).otherwise(0.0)
 
 
-def candidates(captures: DataFrame, events: DataFrame, *, bucket: int = 4 * HOUR) -> DataFrame:
-    """Every event within reach of a recording, scored: from 8 hours before its capture to the later of 12 hours after it and 2 after its end."""
+def candidates(captures: DataFrame, events: DataFrame, *, by: Sequence[str] = (), bucket: int = 4 * HOUR) -> DataFrame:
+    """Every event within reach (and with the same columns ``by``, e.g. an owner) of a recording, scored: from 8 hours before its capture to the later of 12 hours after it and 2 after its end."""
     low = F.col("captured_ms") - BEFORE_MS
     high = F.greatest(F.col("captured_ms") + AFTER_MS, F.col("captured_ms") + F.coalesce(F.col("duration_sec") * 1000, F.lit(0.0)).cast("long") + AFTER_END_MS)
     asked = in_buckets(captures.withColumns({"low": low, "high": high}), "low", "high", bucket).alias("r")
     offered = in_buckets(events.where("ends_ms > starts_ms"), "starts_ms", "ends_ms", bucket).alias("e")
     inside = (F.col("starts_ms") < F.col("high")) & (F.col("ends_ms") > F.col("low"))
     once = F.floor(F.greatest("low", "starts_ms") / bucket) == F.col("r.bucket")
-    pairs = asked.join(offered, (F.col("r.bucket") == F.col("e.bucket")) & inside & once)
+    same = reduce(lambda a, c: a & (F.col(f"r.{c}") == F.col(f"e.{c}")), by, F.col("r.bucket") == F.col("e.bucket"))
+    pairs = asked.join(offered, same & inside & once)
     penalty = F.col("penalty") if "penalty" in captures.columns else F.lit(0.0)
     text = F.col("text_score") if "text_score" in captures.columns else F.lit(0.0)
     return pairs.select("recording_id", "event_id", "starts_ms", score(F.col("captured_ms"), F.col("duration_sec"), F.col("starts_ms"), F.col("ends_ms"), text, penalty).alias("score"))

@@ -18,12 +18,6 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_plan(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of texts in a source with equal openings, up to the first full stop, the one with the least id."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index("text", ".", 1).alias("opening"))
-    return text.first_wins(docs, ["source"], "opening", ["doc_id"])
-
-
 def first_wins_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal whole texts in a source, the one with the least id."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
@@ -94,7 +88,8 @@ def candidate_best_per_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.duplicate_profiles(_nearest(spark, sf_dir))
+    """Every candidate that a sample resembles at all counts."""
+    return people.duplicate_profiles(_eligible(spark, sf_dir, 0.0))
 
 
 def samples_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,10 +168,6 @@ SELECT recording_id, speaker, turns, q AS questions, c AS cues, CASE WHEN sh <=
 QUERIES = {
     "sentence_dedup": (sentence_dedup, None),
     "chunk_plan": (chunk_plan, None),
-    "first_wins_dedup": (
-        first_wins_dedup,
-        "WITH d AS (SELECT source, doc_id, split_part(text, '.', 1) AS opening FROM documents), k AS (SELECT *, lower(trim(regexp_replace(opening, '\\s+', ' ', 'g'))) AS key FROM d) SELECT source, doc_id, opening FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1",
-    ),
     "first_wins_texts": (
         first_wins_texts,
         "SELECT source, doc_id, text FROM (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS key FROM documents) WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1",
@@ -200,7 +191,7 @@ SELECT recording_id, speaker, count(*) AS terms, count(dom.term) AS domain_terms
     "speaker_centroids": (speaker_centroids, f"SELECT voice_profile_id, place::INT AS place, round(x, 6) AS x FROM ({_W})"),
     "cosine_pairs": (cosine_pairs, f"WITH {_CENT} SELECT a.voice_profile_id AS a, b.voice_profile_id AS b, round({_COS.format('a.c', 'b.c')}, 6) AS similarity FROM cen a JOIN cen b ON a.voice_profile_id < b.voice_profile_id"),
     "candidate_best_per_profile": (candidate_best_per_profile, f"WITH {_NEAR} SELECT sample_id, position, candidate, score FROM nr"),
-    "duplicate_profiles": (duplicate_profiles, f"WITH {_NEAR} SELECT voice_profile_id AS source, candidate AS target, count(*) AS match_count, max(score) AS best_score FROM nr WHERE voice_profile_id <> candidate AND score >= 0 GROUP BY 1, 2"),
+    "duplicate_profiles": (duplicate_profiles, f"WITH {_NEAR} SELECT voice_profile_id AS source, candidate AS target, count(*) AS match_count, max(score) AS best_score FROM sc WHERE voice_profile_id <> candidate AND score >= 0 GROUP BY 1, 2"),
     "samples_attached": (samples_attached, f"WITH {_NEAR} SELECT sample_id, CASE WHEN score >= 0.5 THEN candidate END AS voice_profile_id, score, score < 0.5 AS needs_review FROM nr WHERE position = 1"),
     "assign_one_to_one": (assign_one_to_one, None),
     "routing_scores": (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions.asof import as_of, running_total
-from colloquy.operators import changes, language, snippets, store, turns
+from colloquy.operators import calendar, changes, language, snippets, store, turns
 from colloquy.operators.folding import joined
 
 COLS = "recording_id string, seq long, speaker string, start_ms long, end_ms long, text string"
@@ -186,3 +186,17 @@ def test_job_commands_by_state(spark):
         verb = name.partition("_")[0]
         want = {"start": ("started", 3, None, 99, None), "requeue": ("queued", 2, "new", None, None), "finish": ("finished", 2, "new", 10, 99), "fail": ("failed", 2, "new", 10, 99)}[verb]
         assert (r["status"], r["attempt"], r["error"], r["started_at"], r["finished_at"]) == (want if moved else (before, 2, "e", 10, 20)) and r["moved"] == moved
+
+
+def test_calendar_texts_match_in_part(spark):
+    rows = spark.createDataFrame([("The Zürich budget-review call 2024", "Budget review", "ann@x.com, Zürich", "Room 2024"), ("sync", "Sync", "x", "y"), (None, "a b", None, ""), ("plan", "plan", "plan", "plan")], "r string, s string, a string, p string")
+    got = rows.select(F.array_sort(calendar.tokens(F.col("r"))).alias("t"), F.round(calendar.text_match(*[calendar.tokens(F.col(c)) for c in "rsap"]), 4).alias("m")).collect()
+    assert [r["t"] for r in got] == [["2024", "budget", "review", "zurich"], [], [], ["plan"]]
+    assert [r["m"] for r in got] == [round(0.65 * 2 / 3 + 0.125 + 0.05, 4), 0.0, 0.0, round(0.65 + 0.125 + 0.05, 4)]
+
+
+def test_candidates_of_an_owner(spark):
+    captures = spark.createDataFrame([(1, "a", 0, 60.0), (2, "b", 0, 60.0)], "recording_id long, owner string, captured_ms long, duration_sec double")
+    events = spark.createDataFrame([("x", "a", 0, 60_000), ("y", "b", 0, 60_000), ("z", None, 0, 60_000)], "event_id string, owner string, starts_ms long, ends_ms long")
+    assert sorted(r["event_id"] for r in calendar.candidates(captures, events, by=["owner"]).collect()) == ["x", "y"]
+    assert calendar.candidates(captures, events).count() == 6
