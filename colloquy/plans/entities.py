@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.operators import cascades, chunks, claims
+from colloquy.operators import backfills, cascades, chunks, claims, voices
 from colloquy.plans.sql import SEGMENTS
 from colloquy.sources.tables import jobs, projects, recordings, segments, table, voice_samples
 
@@ -83,9 +83,57 @@ def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.unionByName(out["weights"].select(F.lit("weight").alias("kind"), F.col("project_id").alias("id"), F.concat_ws("=", "keyword", F.col("weight").cast("string")).alias("value")))
 
 
+def _numbers() -> voices.Model:
+    """Stands in for a model: numbers that follow from the times, two places for every seventh start."""
+    return lambda _, start, end: [[float(start % 97), float(end % 89), float(k)][: 2 if start % 7 == 0 else 3] for k in (1, 3)]
+
+
+def speaker_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = voices.longest_crops(segments(spark, sf_dir))
+    found = voices.speaker_vectors(voices.embedded(crops, _numbers))
+    rounded = F.transform("vector", lambda x: F.round(x, 6))
+    return found.select("recording_id", "speaker", "crops", F.array_join(rounded.cast("array<string>"), " ").alias("vector"))
+
+
+def backfilled_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as profiles, every second one without times; their orders as samples."""
+    rows = table(spark, sf_dir, "customer")
+    known = F.when(F.col("c_custkey") % 2 == 0, F.to_timestamp_ntz(F.lit("1995-05-05")))
+    profiles = rows.select(F.col("c_custkey").alias("id"), known.alias("created_at"), F.when(F.col("c_custkey") % 3 == 0, F.to_timestamp_ntz(F.lit("2001-01-01"))).alias("updated_at"))
+    samples = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("voice_profile_id"), F.col("o_orderdate").alias("created_at"))
+    return backfills.dated_profiles(profiles, samples)
+
+
+def placeholder_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of which urgent ones go that were queued within a year of their recording's first job."""
+    rows = jobs(spark, sf_dir).withColumns({"started_at": F.when(F.col("id") % 5 == 0, F.col("created_at")), "finished_at": F.lit(None).cast("timestamp_ntz")})
+    made = rows.groupBy(F.col("recording_id").alias("id")).agg(F.min("created_at").alias("created_at"))
+    return backfills.without_placeholders(rows, made, seconds=365 * 86400.0, types=("1-URGENT", "2-HIGH")).select("id", "type", "status")
+
+
 _LINES = "line AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, sum(l_quantity)::BIGINT AS l_quantity FROM lineitem GROUP BY 1, 2)"
 
 QUERIES = {
+    "speaker_vectors": (
+        speaker_vectors,
+        f"""WITH {SEGMENTS}, t AS (SELECT *, row_number() OVER (PARTITION BY recording_id, speaker ORDER BY end_ms - start_ms DESC, start_ms, seq) AS place FROM seg WHERE end_ms > start_ms
+), c AS (SELECT recording_id, speaker, place, CASE WHEN end_ms - start_ms > 3000 THEN (start_ms + end_ms - 3000) // 2 ELSE start_ms END AS s, CASE WHEN end_ms - start_ms > 3000 THEN (start_ms + end_ms - 3000) // 2 + 3000 ELSE end_ms END AS e FROM t WHERE place <= 5
+), v AS (SELECT recording_id, speaker, place, CASE WHEN s % 7 = 0 THEN [s % 97, e % 89] ELSE [s % 97, e % 89, 2] END AS v FROM c
+), z AS (SELECT recording_id, speaker, arg_min(len(v), place) AS size FROM v GROUP BY 1, 2
+), a AS (SELECT recording_id, speaker, i, round(avg(v[i]), 6) AS x, count(*) AS n FROM (SELECT v.*, unnest(range(1, len(v) + 1)) AS i FROM v JOIN z USING (recording_id, speaker) WHERE len(v) = size) GROUP BY 1, 2, 3)
+SELECT recording_id, speaker, max(n) AS crops, string_agg(x::VARCHAR, ' ' ORDER BY i) AS vector FROM a GROUP BY 1, 2""",
+    ),
+    "backfilled_profiles": (
+        backfilled_profiles,
+        """WITH f AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders GROUP BY 1), p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1995-05-05' ELSE coalesce(d, TIMESTAMP '1970-01-01') END AS created_at FROM customer LEFT JOIN f ON o_custkey = c_custkey)
+SELECT *, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2001-01-01' ELSE created_at END AS updated_at FROM p""",
+    ),
+    "placeholder_jobs": (
+        placeholder_jobs,
+        """WITH j AS (SELECT *, min(o_orderdate) OVER (PARTITION BY o_custkey) AS made FROM orders)
+SELECT o_orderkey AS id, o_orderpriority AS type, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'started' WHEN 'F' THEN 'finished' END AS status FROM j
+WHERE NOT (o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O' AND o_orderkey % 5 > 0 AND o_orderdate <= made + INTERVAL 365 DAY)""",
+    ),
     "chunk_states": (
         chunk_states,
         f"""WITH {_LINES}, l AS (SELECT l_orderkey AS recording_id, l_linenumber AS k, l_shipdate AS s, l_shipdate + to_days((l_linenumber + 1)::INT) AS r, l_shipdate + to_days((l_suppkey % 9)::INT) AS c, l_linestatus AS h, l_linenumber % 4 > 0 AS a, l_linenumber < 7 AS e, l_linenumber % 5 = 0 AS g, l_linenumber % 3 = 0 AS p,

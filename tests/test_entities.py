@@ -155,3 +155,39 @@ def test_merged_profiles_in_all_tables(spark):
     assert sorted(map(tuple, out["weights"].collect())) == [(1, "voice:2", 5), (1, "word", 5), (2, "voice:2", 1)]
     assert {r["id"]: r["merged_into"] for r in out["profiles"].collect()} == {1: 2, 2: None, 3: None}
     assert {r["id"]: r["voice_profile_id"] for r in out["samples"].collect()} == {1: 2, 2: None}
+
+
+def test_speakers_get_one_vector(spark):
+    from colloquy.operators import voices
+
+    rows = [("r", k, s, a, b, "") for k, (s, a, b) in enumerate([("A", 0, 10_000), ("A", 20_000, 21_000), ("A", 30_000, 31_000), ("B", 0, 500), ("B", 5, 5), ("", 0, 9000), (None, 0, 9000), ("C", 0, 100), ("A", 40_000, 40_900), ("A", 50_000, 50_800), ("A", 60_000, 60_700)])]
+    df = spark.createDataFrame(rows, "recording_id string, seq long, speaker string, start_ms long, end_ms long, text string")
+    crops = voices.longest_crops(df)
+    assert sorted((r["speaker"], r["place"], r["start_ms"], r["end_ms"]) for r in crops.collect()) == [
+        ("A", 1, 3500, 6500), ("A", 2, 20_000, 21_000), ("A", 3, 30_000, 31_000), ("A", 4, 40_000, 40_900), ("A", 5, 50_000, 50_800), ("B", 1, 0, 500), ("C", 1, 0, 100)]
+
+    def load():
+        def model(recording, start, end):
+            if end == 100:
+                raise ValueError("no speech")
+            return {3500: [[1.0, 2.0], [3.0, 4.0]], 20_000: [[9.0]], 30_000: [[float("nan"), 1.0]], 40_000: [[4.0, 5.0], [1.0]], 50_000: [[6.0, 7.0]]}.get(start, [])
+
+        return model
+
+    got = voices.speaker_vectors(voices.embedded(crops, load)).collect()
+    assert [(r["speaker"], r["crops"], r["vector"]) for r in got] == [("A", 2, [4.0, 5.0])]
+
+
+def test_backfills(spark):
+    from colloquy.operators import backfills
+
+    profiles = spark.createDataFrame([(1, None, None), (2, "b", None), (3, None, "z")], "id long, created_at string, updated_at string")
+    samples = spark.createDataFrame([(1, "d"), (1, "c"), (2, "a")], "voice_profile_id long, created_at string")
+    assert sorted(map(tuple, backfills.dated_profiles(profiles, samples).collect())) == [(1, "c", "c"), (2, "b", "b"), (3, backfills.NEVER, "z")]
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    kind = "id long, recording_id string, type string, status string, created_at timestamp_ntz, started_at timestamp_ntz, finished_at timestamp_ntz"
+    jobs = spark.createDataFrame([(1, "r", "stt", "queued", at(30), None, None), (2, "r", "stt", "queued", at(30.5), None, None), (3, "r", "precheck", "queued", at(0), None, None), (4, "r", "llm", "queued", at(-1), None, None), (5, "r", "llm", "queued", at(1), at(2), None), (6, "q", "llm", "queued", at(1), None, None), (7, "r", "align", "started", at(0), None, None)], kind)
+    made = spark.createDataFrame([("r", at(0))], "id string, created_at timestamp_ntz")
+    assert sorted(r["id"] for r in backfills.without_placeholders(jobs, made).collect()) == [2, 3, 4, 5, 6, 7]
+    rows = backfills.dated_assignments(spark.createDataFrame([("r",), ("q",)], "recording_id string"), made.withColumnRenamed("created_at", "updated_at"))
+    assert {r["recording_id"]: r["updated_at"] for r in rows.collect()} == {"r": at(0), "q": datetime(1970, 1, 1)}
