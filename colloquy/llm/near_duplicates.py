@@ -349,6 +349,7 @@ def near_duplicates(
     named = nodes.select("node", "rep").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classes = named.join(names, "component").select("node", "component_id")
-    out = docs_sketched.select("doc_id", "n_shingles", "node").join(classes, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    out = docs_sketched.select("doc_id", "n_shingles", "node").join(classes, "node").select("doc_id", "n_shingles", "component_id", kept)
+    alone = docs_sketched.where("node IS NULL").withColumn("component_id", F.col("doc_id"))  # empty sets meet nowhere, least of all in one task
+    return out.union(alone.select("doc_id", "n_shingles", "component_id", kept))
