@@ -57,14 +57,32 @@ def merge_extracts(items: DataFrame) -> DataFrame:
     return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).select("recording_id", "kind", "position", "x.text")
 
 
-def compact_transcript(turns: DataFrame, *, gap_ms: int = 1000) -> DataFrame:
-    """Turns with something said, merged by speaker, with short labels by order of appearance."""
+#: Names that say nothing, and how long a label may be.
+GENERIC, MOST_CHARS, MOST_WORDS = r"(?i)^(speaker|spk|s)[\s_-]*\d+$", 10, 2
+
+
+def concise(name: Column) -> Column:
+    """Whether a name can stand as a label: short, of letters, digits and ``-_'``, and not a mere number of a speaker."""
+    plain = F.trim(F.regexp_replace(name, r"\s+", " "))
+    short = (F.length(plain) <= MOST_CHARS) & (F.size(F.split(plain, " ")) <= MOST_WORDS)
+    return F.coalesce((plain != "") & short & ~plain.rlike(GENERIC) & plain.rlike(r"^[\p{L}\p{N} _'-]+$"), F.lit(False))
+
+
+def compact_transcript(turns: DataFrame, *, aliases: DataFrame | None = None, gap_ms: int = 1000) -> DataFrame:
+    """Turns with something said, merged by speaker, with short labels by order of appearance.
+
+    A speaker is called by the name that ``aliases`` (recording_id, speaker, name) have, else by its own, if that is concise and no speaker
+    before has it in the recording; else S and its place.
+    """
     merged = merge_turns(turns.where(F.col("text").rlike(r"[\p{L}\p{N}]")), gap_ms=gap_ms)
-    firsts = merged.groupBy("recording_id", "speaker").agg(F.min(F.struct("start_ms", "seq")).alias("at"))
+    firsts = merged.groupBy("recording_id", "speaker").agg(F.min(F.struct("start_ms", "end_ms", "speaker", "seq")).alias("at"))
+    if aliases is not None:
+        firsts = firsts.join(aliases.select("recording_id", "speaker", "name"), ["recording_id", "speaker"], "left")
+    name = F.coalesce("name", "speaker") if aliases is not None else F.col("speaker")
     order = F.row_number().over(Window.partitionBy("recording_id").orderBy("at"))
-    concise = (F.length("speaker") <= 10) & (F.size(F.split("speaker", r"\s+")) <= 2) & ~F.lower("speaker").rlike(r"^(speaker|s|unknown)[ _-]?\d*$")
-    labels = firsts.select("recording_id", "speaker", F.when(concise, F.col("speaker")).otherwise(F.concat(F.lit("S"), order.cast("string"))).alias("label"))
-    rows = merged.join(labels, ["recording_id", "speaker"])
+    taken = F.row_number().over(Window.partitionBy("recording_id", name).orderBy("at"))
+    label = F.when(concise(name) & (taken == 1), name).otherwise(F.concat(F.lit("S"), order.cast("string")))
+    rows = merged.join(firsts.select("recording_id", "speaker", label.alias("label")), ["recording_id", "speaker"])
     return rows.select("recording_id", "label", "start_ms", "end_ms", F.concat(F.col("label"), F.lit(": "), F.col("text")).alias("line"))
 
 

@@ -91,7 +91,24 @@ WHERE event_type = 'purchase' AND (n > ts + INTERVAL 12 HOUR OR n IS NULL AND ts
     ),
     "turns_short_merge": (turns_short_merge, None),
     "turns_smooth": (turns_smooth, None),
-    "compact_transcript": (compact_transcript, None),
+    "compact_transcript": (
+        compact_transcript,
+        r"""WITH t AS (
+  SELECT conv_id::VARCHAR AS recording_id, turn AS seq, role AS speaker, text, (sum(length(coalesce(text, '')) * 60) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS end_ms, length(coalesce(text, '')) * 60 AS n FROM conversations
+), s AS (
+  SELECT *, end_ms - n AS start_ms FROM t WHERE regexp_matches(text, '[\p{L}\p{N}]')
+), c AS (
+  SELECT *, (speaker IS DISTINCT FROM lag(speaker) OVER w)::INT AS changed, max(end_ms) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY start_ms, end_ms, speaker, seq)
+), i AS (
+  SELECT *, sum((changed = 1 OR start_ms > top + 1000)::INT) OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms, speaker, seq ROWS UNBOUNDED PRECEDING) AS island FROM c
+), m AS (
+  SELECT recording_id, island, any_value(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(seq) AS seq, string_agg(text, ' ' ORDER BY start_ms, end_ms, seq, text) AS text FROM i GROUP BY 1, 2
+), f AS (
+  SELECT recording_id, speaker, CASE WHEN length(speaker) <= 10 AND NOT regexp_matches(speaker, '(?i)^(speaker|spk|s)[\s_-]*[0-9]+$') AND regexp_matches(speaker, '^[\p{L}\p{N} _''-]+$') THEN speaker
+    ELSE 'S' || row_number() OVER (PARTITION BY recording_id ORDER BY min(start_ms), speaker) END AS label FROM m GROUP BY recording_id, speaker
+)
+SELECT m.recording_id, label, start_ms, end_ms, label || ': ' || text AS line FROM m JOIN f ON f.recording_id = m.recording_id AND f.speaker = m.speaker""",
+    ),
     "recording_reports": (recording_reports, None),
     "current_stages": (
         current_stages,

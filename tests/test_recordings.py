@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions.asof import as_of, running_total
-from colloquy.operators import calendar, changes, language, snippets, store, turns
+from colloquy.operators import calendar, changes, language, reports, snippets, store, turns
 from colloquy.operators.folding import joined
 
 COLS = "recording_id string, seq long, speaker string, start_ms long, end_ms long, text string"
@@ -200,3 +200,12 @@ def test_candidates_of_an_owner(spark):
     events = spark.createDataFrame([("x", "a", 0, 60_000), ("y", "b", 0, 60_000), ("z", None, 0, 60_000)], "event_id string, owner string, starts_ms long, ends_ms long")
     assert sorted(r["event_id"] for r in calendar.candidates(captures, events, by=["owner"]).collect()) == ["x", "y"]
     assert calendar.candidates(captures, events).count() == 6
+
+
+def test_labels_of_speakers(spark):
+    names = ["Ann", "spk 3", "Speaker", "unknown", "S-12", "Bo Li", "A B C", "a@b", "O'Neil", "Much too long", "zed"]
+    rows = segs(spark, [(k * 10_000, k * 10_000 + 10, n, f"said {k}") for k, n in enumerate(names)] + [(999_000, 999_001, "zed", "...")])
+    aliases = spark.createDataFrame([("r", "zed", "Ann"), ("r", "a@b", "Al")], "recording_id string, speaker string, name string")
+    label = lambda df: [r["label"] for r in df.orderBy("start_ms").collect()]
+    assert label(reports.compact_transcript(rows)) == ["Ann", "S2", "Speaker", "unknown", "S5", "Bo Li", "S7", "S8", "O'Neil", "S10", "zed"]
+    assert label(reports.compact_transcript(rows, aliases=aliases))[7:] == ["Al", "O'Neil", "S10", "S11"]
