@@ -40,7 +40,9 @@ from colloquy.llm.near_duplicates import HUBS, SHORT_LIST, confirmed, full_sets,
 #: Of each order the number that its hashes start from. The first order makes the lists.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 #: Counters of the table of frequencies, and those that one row carries between tasks.
-COUNTERS, CHUNK = 1 << 22, 1 << 16
+COUNTERS, CHUNK = 1 << 24, 1 << 16
+#: Parts of the input that fill one table.
+PARTS = 8
 PREFIXED = "doc_id long, n_shingles long, node long, first array<long>, second array<int>, third array<int>"
 
 
@@ -70,7 +72,9 @@ def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
         classes = [scale(t).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(classes, pa.binary())], ["at", "classes"])
 
-    counted = rows.select("text").mapInArrow(count, "at long, counts binary")
+    parts = rows.rdd.getNumPartitions()
+    fewer = rows.select("text").coalesce(max(1, min(parts, max(rows.sparkSession.sparkContext.defaultParallelism, parts // PARTS))))
+    counted = fewer.mapInArrow(count, "at long, counts binary")
     out = np.zeros(COUNTERS, np.uint8)
     for r in counted.repartition("at").mapInArrow(add, "at long, classes binary").collect():
         out[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["classes"], np.uint8)
