@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import scalars
 from colloquy.operators import folding, reports
-from colloquy.sources.tables import conversation_turns, jobs, recordings, segments, table
+from colloquy.sources.tables import SEGMENT_STATUS, conversation_turns, jobs, recordings, segments, table
 from colloquy.streaming import reaper, windows
 
 
@@ -82,6 +82,8 @@ def stuck_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", ntz("started_at"), ntz("recovered_at"))
 
 
+_STATUS = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_STATUS.items()) + " ELSE 'Failed' END"
+
 QUERIES = {
     "stuck_jobs": (
         stuck_jobs,
@@ -109,7 +111,19 @@ WHERE event_type = 'purchase' AND (n > ts + INTERVAL 12 HOUR OR n IS NULL AND ts
 )
 SELECT m.recording_id, label, start_ms, end_ms, label || ': ' || text AS line FROM m JOIN f ON f.recording_id = m.recording_id AND f.speaker = m.speaker""",
     ),
-    "recording_reports": (recording_reports, None),
+    "recording_reports": (
+        recording_reports,
+        f"""WITH rec AS (SELECT c_custkey::VARCHAR AS recording_id, c_name, {_STATUS} AS status FROM customer
+), t AS (
+  SELECT conv_id::VARCHAR AS recording_id, turn, role, text, (sum(length(coalesce(text, '')) * 60) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(coalesce(text, '')) * 60)::BIGINT AS ms FROM conversations
+), l AS (
+  SELECT *, ms // 1000 AS n FROM t
+), g AS (
+  SELECT recording_id, string_agg('- [' || CASE WHEN n >= 3600 THEN printf('%02d:', n // 3600) ELSE '' END || printf('%02d:%02d', n // 60 % 60, n % 60) || '] **' || role || '**: ' || text, chr(10) ORDER BY ms, turn) AS lines FROM l GROUP BY 1
+)
+SELECT rec.recording_id, '# ' || c_name || chr(10) || chr(10) || '- Status: ' || status || chr(10) || chr(10) || '## Transcript' || chr(10) || chr(10) || coalesce(lines, '(none)') || chr(10) AS markdown
+FROM rec LEFT JOIN g ON g.recording_id = rec.recording_id""",
+    ),
     "current_stages": (
         current_stages,
         """WITH s AS (SELECT o_custkey AS recording_id, o_orderpriority || '-' || o_orderkey AS stage_name, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'planned' ELSE 'completed' END AS status, o_orderdate AS u FROM orders)
