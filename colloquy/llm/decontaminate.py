@@ -10,7 +10,8 @@ Items reach the tasks in blocks of at most about ``block_chars``; a larger bench
 over the documents, never a larger broadcast. Documents are not shuffled.
 
 Defined results: null or blank items match nothing; null and blank texts match no item; repeated
-rows of documents are matched each, repeated items too; ids may be null; other columns are ignored.
+rows of documents are matched each, repeated items too; ids may be null; other columns are ignored;
+texts of any length are searched whole.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Learned from at most ``sample_per_language`` documents of each labelled language
 fold; of a text over ``sample_chars`` characters one window of that length is taken, placed by a hash.
 Defined results: null texts and those without a letter are ``und`` with score 0; so is everything
 if there is nothing to learn from; a null id is held out; repeated rows are labelled each; other
-columns are ignored.
+columns are ignored; texts of any length are read whole; of equally likely languages the first by name counts.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@
 Sketch values are 64-bit hashes, as are the sets' own hashes. Defined results: null texts and
 texts without words have an empty set and are linked with nothing; repeated rows are in one class; a row
 with a null id is in its class but never names it (its class id is null if no row has an id);
-other columns are ignored.
+other columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations

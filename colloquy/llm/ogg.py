@@ -7,7 +7,7 @@ serial numbers, and derives each packet's end time from its page's granule posit
 streams by time gives the payload back.
 
 Defined results: a null text is stored as an empty one; equal texts give equal bytes; repeated rows
-are stored each; ids may be null; other columns are ignored. A damaged page raises ``ValueError``.
+are stored each; ids may be null; other columns are ignored; texts of any length are stored whole. A damaged page raises ``ValueError``.
 """
 
 from __future__ import annotations

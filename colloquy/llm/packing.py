@@ -9,7 +9,8 @@
    one packing of everything, and the number of shards grows with the data.
 
 Defined results: a null text counts as empty, and an empty text is the end id alone; repeated
-rows are packed each; ids may be null; other columns are ignored; an empty table gives none.
+rows are packed each; ids may be null; other columns are ignored; an empty table gives none; texts of any
+length are cut into whole pieces; equally long pieces of a shard go in the order of their row's key.
 """
 
 from __future__ import annotations

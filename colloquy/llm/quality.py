@@ -10,7 +10,8 @@
 
 All labelled rows outside the held-out fold are learned from. Defined results: null texts count as
 empty and get the score of an empty text; without labelled rows every score is 0.5; a null id is
-held out; repeated rows are scored each; other columns are ignored.
+held out; repeated rows are scored each; other columns are ignored; texts of any
+length are measured whole; equal statistics get equal scores.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ a boundary is allocated by ``rule``:
 * ``proportional``: to each section the share of its characters that lies there.
 
 Defined results: a null text counts as empty; an empty text has one empty section with no
-tokens; repeated rows are counted each; a null id stays null; other columns are ignored.
+tokens; repeated rows are counted each; a null id stays null; other columns are ignored;
+texts of any length are encoded whole; a token that two sections share equally is the first one's by ``majority``.
 """
 
 from __future__ import annotations

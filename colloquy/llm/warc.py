@@ -13,7 +13,8 @@ written as responses; the others are revisits that refer to it and hold no paylo
 
 Defined results: a null html is an empty payload; rows that repeat the smallest page_id with its
 payload are all responses; a null page_id never is referred to, and revisits if another page has
-its payload; a null url is left out; other columns are ignored; an empty table gives no archive.
+its payload; a null url is left out; other columns are ignored; an empty table gives no archive; a html of any length is
+one record.
 """
 
 from __future__ import annotations
