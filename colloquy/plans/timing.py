@@ -12,13 +12,11 @@ from colloquy.sources.tables import calendar_events, captures, conversation_turn
 
 def calendar_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of each recording: how many, how many with a score, and the best one."""
-    scored = calendar.candidates(captures(spark, sf_dir), calendar_events(spark, sf_dir))
-    return scored.groupBy("recording_id").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") > 0).alias("scored"), F.max("score").alias("top_score"))
+    return calendar.summaries(captures(spark, sf_dir), calendar_events(spark, sf_dir))
 
 
 def calendar_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = captures(spark, sf_dir)
-    return calendar.decisions(rows, calendar.candidates(rows, calendar_events(spark, sf_dir)))
+    return calendar.decisions(captures(spark, sf_dir), calendar_events(spark, sf_dir))
 
 
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
