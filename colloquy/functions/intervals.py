@@ -117,3 +117,14 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], *, bucket: int
     met = [F.col(p + c) == F.col(q + c) for c in by] + [F.col("_x") == F.col("_y")]
     near = (later < F.least(f"{p}end_ms", f"{q}end_ms")) & (F.floor(later / bucket) == F.col("_x"))
     return x.join(y, [*met, near]).drop("_x", "_y")
+
+
+def holders(points: DataFrame, spans: DataFrame, by: Sequence[str], who: str, *, at: str, start: str = "start_ms", end: str = "end_ms", bucket: int = 60_000) -> DataFrame:
+    """``points``, each once for every ``who`` of its group one of whose closed spans holds ``at``; the name comes back as ``holder``.
+
+    Spans are united for each ``who`` first, so that a point meets few of them however many there are.
+    """
+    united = coalesced(spans, [*by, who], start=start, end=end, drop_empty=False)
+    held = in_buckets(united.select(*by, F.col(who).alias("holder"), F.col(start).alias("_low"), F.col(end).alias("_high")), "_low", "_high", bucket, "_cell")
+    met = points.withColumn("_cell", F.floor(F.col(at) / bucket)).join(held, [*by, "_cell"])
+    return met.where(F.col(at).between(F.col("_low"), F.col("_high"))).select(*points.columns, "holder")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.intervals import coalesced, distance, duration, in_buckets, islands, overlap_pairs, ratio
+from colloquy.functions.intervals import coalesced, distance, duration, holders, in_buckets, islands, overlap_pairs, ratio
 from colloquy.operators.turns import ORDER
 
 #: Limits of a recording that is like a dialog.
@@ -145,11 +145,15 @@ def relabel_flicker(segments: DataFrame, *, min_total_ms: int = 3000, max_run: i
 
 
 def speakers_overlap(segments: DataFrame, *, tolerance_ms: int = 100) -> DataFrame:
-    """Pairs of speakers of which some segments share more than the tolerance."""
+    """Pairs of speakers of which some segments share more than the tolerance.
+
+    The later of two such segments starts in the union of the other speaker's, each without its last ``tolerance_ms``.
+    """
     rows = segments.where("end_ms > start_ms").select("recording_id", "speaker", "start_ms", "end_ms")
-    pairs = overlap_pairs(rows, rows, ["recording_id"]).where("a_speaker < b_speaker")
-    long = F.least("a_end_ms", "b_end_ms") - F.greatest("a_start_ms", "b_start_ms") > tolerance_ms
-    return pairs.where(long).select(F.col("a_recording_id").alias("recording_id"), F.col("a_speaker").alias("speaker_a"), F.col("b_speaker").alias("speaker_b")).distinct()
+    least = max(tolerance_ms, 0)
+    later = rows.where(F.col("end_ms") - F.col("start_ms") > least)
+    found = holders(later, later.withColumn("end_ms", F.col("end_ms") - least - 1), ["recording_id"], "speaker", at="start_ms").where("speaker <> holder")
+    return found.select("recording_id", F.least("speaker", "holder").alias("speaker_a"), F.greatest("speaker", "holder").alias("speaker_b")).distinct()
 
 
 def overlap_ratios(segments: DataFrame) -> DataFrame:
