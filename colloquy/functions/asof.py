@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 BUCKET = 600_000
 
 
-def as_of(points: DataFrame, marks: DataFrame, by: Sequence[str], *, at: str, value: str, out: str, after: bool = False, bucket: int = BUCKET) -> DataFrame:
+def as_of(points: DataFrame, marks: DataFrame, by: Sequence[str], *, at: str, value: str, out: str, after: bool = False, least: bool = False, bucket: int = BUCKET) -> DataFrame:
     """``points`` with the value of their group's last mark at or before ``at``, or of the first one at or after it.
 
+    With ``least`` it is the least value of all marks on that side.
+
     Of marks at one time the least value counts. A point without such a mark, or with a null time, gets null. Columns in ``by``
     aren't null.
     """
@@ -28,12 +30,15 @@ def as_of(points: DataFrame, marks: DataFrame, by: Sequence[str], *, at: str, va
     asked = points.select("*", (F.col(at) * sign).alias("_at"), F.lit(True).alias("_asks"), F.lit(None).cast(kind).alias("_value"))
     rows = asked.unionByName(one, allowMissingColumns=True).withColumn("_cell", F.floor(F.col("_at") / bucket))
     order = Window.partitionBy(*cell).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = rows.withColumn("_here", F.last("_value", True).over(order))
-    cells = rows.groupBy(*cell).agg(F.max_by("_value", F.when(~F.col("_asks"), F.col("_at"))).alias("_tail"))
+    here = rows.withColumn("_here", (F.min("_value") if least else F.last("_value", True)).over(order))
+    one = one.withColumn("_cell", F.floor(F.col("_at") / bucket))
+    tails = one.groupBy(*cell).agg((F.min("_value") if least else F.max_by("_value", "_at")).alias("_tail"))
+    cells = asked.select(*by, F.floor(F.col("_at") / bucket).alias("_cell")).distinct().withColumn("_tail", F.lit(None).cast(kind)).unionByName(tails)
+    cells = cells.groupBy(*cell).agg(F.first("_tail", True).alias("_tail"))
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*cell, F.last("_tail", True).over(before).alias("_carried"))
+    cells = cells.select(*cell, (F.min("_tail") if least else F.last("_tail", True)).over(before).alias("_carried"))
     met = here.where("_asks").join(cells, cell, "left")
-    return met.select(*points.columns, F.coalesce("_here", "_carried").alias(out))
+    return met.select(*points.columns, (F.least("_here", "_carried") if least else F.coalesce("_here", "_carried")).alias(out))
 
 
 def running_total(df: DataFrame, by: Sequence[str], *, at: str, value: str, out: str, bucket: int = BUCKET) -> DataFrame:
