@@ -1,4 +1,4 @@
-"""Turn operators that depend on their own earlier steps: one recording is one unit of work.
+"""Turn operators that depend on their own earlier steps: one recording is one unit of work, but for ``smooth_turns``.
 
 A null text counts as a blank one, which has no words and adds nothing to what it is joined with.
 """
@@ -9,9 +9,13 @@ import itertools
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from colloquy.functions.intervals import islands
 
 TURN = "recording_id string, seq long, speaker string, start_ms long, end_ms long, text string"
+NAMES = [f.split()[0] for f in TURN.split(", ")]
 
 
 def joined(before: str, after: str) -> str:
@@ -82,7 +86,7 @@ def smooth(rows: list[dict], gap_ms: int, least_ms: int) -> list[dict]:
 
 
 def by_recording(turns: DataFrame, fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    names = [f.split()[0] for f in TURN.split(", ")]
+    names = NAMES
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(text=frame["text"].fillna("")).sort_values(["start_ms", "end_ms", "speaker", "seq"])
@@ -95,5 +99,43 @@ def merge_short_turns(turns: DataFrame, *, least_words: int = 6, gap_ms: int = 8
     return by_recording(turns, lambda rows: fold_short(rows, least_words, gap_ms))
 
 
+def spoken(texts: Column) -> Column:
+    """Texts joined one after the other as ``pulled`` joins them; a single one stays as it is."""
+    blank = r"(?U)[\s\x1c-\x1f]+"
+    bare = lambda t: F.regexp_replace(t, f"{blank}$", "")
+    rest = F.filter(F.transform(F.slice(texts, 2, F.size(texts)), bare), lambda t: t != "")
+    first = F.when(bare(texts[1]) == "", bare(texts[0])).otherwise(texts[0])
+    whole = F.array_join(F.concat(F.array(first), rest), " ")
+    return F.when(F.size(texts) > 1, F.regexp_replace(bare(whole), f"^{blank}", "")).otherwise(texts[0])
+
+
+def _pulled_rows(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """One row for the rows of a recording with the same ``by``: the first in order, with all texts and the last end."""
+    parts = F.array_sort(F.collect_list(F.struct(*order, *[c for c in ("speaker", "seq", "end_ms", "text") if c not in order]))).alias("parts")
+    held = rows.groupBy("recording_id", by).agg(parts, F.max("end_ms").alias("end_ms"))
+    first = [F.col("parts")[0][c].alias(c) for c in ("seq", "speaker", "start_ms")]
+    return held.select("recording_id", by, *first, "end_ms", spoken(F.col("parts.text")).alias("text"))
+
+
 def smooth_turns(turns: DataFrame, *, gap_ms: int = 500, least_ms: int = 500) -> DataFrame:
-    return by_recording(turns, lambda rows: smooth(rows, gap_ms, least_ms))
+    """As ``smooth``, on rows: no recording is gathered, only the texts of what becomes one turn.
+
+    A micro turn can only go to its neighbours if both are long and of one other speaker, and the right one is near. Such micro turns
+    and their neighbours form runs; in a run, the left side reaches as far as the latest end before the micro turn. What lies before a gap
+    ends too early to count, and a micro turn that stays ends before its right neighbour, so that maximum is exact.
+    """
+    order = ["start_ms", "end_ms", "speaker", "seq"]
+    rows = turns.select(*NAMES).withColumn("text", F.coalesce("text", F.lit("")))
+    blocks = _pulled_rows(islands(rows, ["recording_id"], order, gap=gap_ms, same=["speaker"]), "island", order)
+    w = Window.partitionBy("recording_id").orderBy("island")
+    long = F.col("end_ms") - F.col("start_ms") >= least_ms
+    before, after = (lambda c: F.lag(c).over(w)), (lambda c: F.lead(c).over(w))
+    sides = before(long) & after(long) & before(F.col("speaker")).eqNullSafe(after(F.col("speaker"))) & ~before(F.col("speaker")).eqNullSafe(F.col("speaker"))
+    micro = F.coalesce(~long & sides & (after(F.col("start_ms")) - F.col("end_ms") <= gap_ms), F.lit(False))
+    apart = lambda c: (~(F.col(c) | F.coalesce(F.lag(c).over(w), F.lit(False)))).cast("long")
+    marked = blocks.withColumn("micro", micro).withColumn("cut", apart("micro")).withColumn("run", F.sum("cut").over(w))
+    reach = F.max("end_ms").over(Window.partitionBy("recording_id", "run").orderBy("island").rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("absorbed", F.coalesce(F.col("micro") & (F.col("start_ms") - reach <= gap_ms), F.lit(False)))
+    marked = marked.withColumn("cut", apart("absorbed")).withColumn("kept", F.sum("cut").over(w))
+    whole = _pulled_rows(marked, "kept", ["island", "start_ms"])
+    return _pulled_rows(islands(whole, ["recording_id"], ["start_ms", "kept"], gap=gap_ms, same=["speaker"]), "island", ["kept", "start_ms"]).select(*NAMES)
