@@ -6,7 +6,7 @@ import pytest
 
 from colloquy.functions.asof import as_of
 from colloquy.functions.intervals import holders
-from colloquy.operators import calendar, claims, diarization, turns
+from colloquy.operators import calendar, claims, diarization, folding, text, turns
 
 CAPTURE, EVENT = "recording_id long, captured_ms long, duration_sec double", "event_id string, starts_ms long, ends_ms long"
 
@@ -101,3 +101,27 @@ def test_words_inside_and_across_segments(spark):
             far = lambda x: max(0, 2 * x[3] - s - e, s + e - 2 * x[4])  # noqa: B023, E731
             best = min(mine, key=lambda x: (-lap(x), 0 if lap(x) else far(x), x[3], x[4], x[2], x[1]), default=None)
             assert got[i] == ((best[2], best[1]) if best else ("S1", None))
+
+
+def test_smooth_turns_without_gathering_recordings(spark):
+    rng = random.Random(11)
+    for longest, gap, least in ((400, 60, 150), (90, 0, 40), (300, 500, 250)):
+        rows = []
+        for r in "pq":
+            at = 0
+            for i in range(150):
+                at += rng.choice([0, 0, rng.randrange(longest)])
+                rows.append((r, i, rng.choice("AB") if rng.random() < 0.9 else "C", at, at + rng.randrange(longest), rng.choice(["a", " b ", "", " c ", "d e"])))
+        got = [tuple(r) for r in folding.smooth_turns(spark.createDataFrame(rows, SEGMENT), gap_ms=gap, least_ms=least).collect()]
+        want = []
+        for r in "pq":
+            mine = [dict(zip(folding.NAMES, x, strict=True)) for x in sorted((x for x in rows if x[0] == r), key=lambda x: (x[3], x[4], x[2], x[1]))]
+            want += [tuple(t[n] for n in folding.NAMES) for t in folding.smooth(mine, gap, least)]
+        assert len(want) < len(rows) and sorted(got) == sorted(want)
+
+
+def test_chunk_plan_passes_chunks_on(spark, monkeypatch):
+    monkeypatch.setattr(text, "PLAN_CHARS", 25)
+    texts = ["one\ntwo three\n" * 9, "", None, "x" * 70]
+    got = [tuple(r) for r in text.chunk_plan(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", max_chars=20, overlap_chars=8).collect()]
+    assert sorted(got) == [(k, i + 1, len(c), a, b) for k, t in enumerate(texts) for c in [text.chunks(t or "", 20, 8)] for i, (a, b) in enumerate(c)]
