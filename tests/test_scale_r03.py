@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from colloquy.functions.asof import as_of
 from colloquy.functions.intervals import holders
+from colloquy.llm import lm_scoring
 from colloquy.operators import calendar, claims, diarization, folding, text, turns
 
 CAPTURE, EVENT = "recording_id long, captured_ms long, duration_sec double", "event_id string, starts_ms long, ends_ms long"
@@ -125,3 +127,19 @@ def test_chunk_plan_passes_chunks_on(spark, monkeypatch):
     texts = ["one\ntwo three\n" * 9, "", None, "x" * 70]
     got = [tuple(r) for r in text.chunk_plan(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k", max_chars=20, overlap_chars=8).collect()]
     assert sorted(got) == [(k, i + 1, len(c), a, b) for k, t in enumerate(texts) for c in [text.chunks(t or "", 20, 8)] for i, (a, b) in enumerate(c)]
+
+
+def test_language_model_learns_from_every_run(spark, monkeypatch):
+    asked = []
+
+    def drawn(blocks, vocabulary, path, share, slices):
+        asked.append((share, slices))
+        return spark.createDataFrame([], "slice long, windows binary")
+
+    monkeypatch.setattr(lm_scoring, "drawn_windows", drawn)
+    monkeypatch.setattr(lm_scoring, "slice_gradients", lambda drawn, model, of: (asked.append(of) or 0, None))
+    counts = np.ones(50_258)
+    counts[-1] = 1_000_000
+    lm_scoring.fit_attention(None, counts, "")
+    (share, slices), steps = asked[0], asked[1:]
+    assert share == 1.0 and set(steps) == set(range(slices))
