@@ -107,16 +107,16 @@ def reap(jobs: DataFrame, recordings: DataFrame, before: Column) -> tuple[DataFr
     known = recordings.select(F.col("id").alias("recording_id"))
     stale = (F.col("status") == "started") & (F.col("started_at") < before)
     late = jobs.where(stale).join(known, "recording_id", "left_semi").select("id", "recording_id")
-    running = jobs.where("status = 'started'").join(late.select("id"), "id", "left_anti").select("recording_id")
-    review = late.select("recording_id").distinct().join(running, "recording_id", "left_anti").select(F.col("recording_id").alias("id"), F.lit(True).alias("_stale"))
-    rows = recordings.join(review, "id", "left").withColumn("_stale", F.col("_stale").isNotNull() & F.col("status").isin(*STALE_FROM))
-    waiting = rows.where(~F.col("_stale") & F.col("status").isin(*ORPHAN_FROM) & (F.col("updated_at") < before)).select(F.col("id").alias("recording_id"))
-    orphans = waiting.join(running, "recording_id", "left_anti")
+    started = jobs.where("status = 'started'").groupBy(F.col("recording_id").alias("id")).agg(F.max(F.coalesce(stale, F.lit(False))).alias("_late"), F.max(~F.coalesce(stale, F.lit(False))).alias("_running"))
+    flag = {c: F.coalesce(c, F.lit(False)) for c in ("_late", "_running")}
+    rows = recordings.join(started, "id", "left").withColumns(flag).withColumn("_stale", F.col("_late") & ~F.col("_running") & F.col("status").isin(*STALE_FROM))
+    waiting = ~F.col("_stale") & ~F.col("_running") & F.col("status").isin(*ORPHAN_FROM) & (F.col("updated_at") < before)
+    rows = rows.withColumn("_orphan", F.coalesce(waiting, F.lit(False))).drop("_late", "_running")
+    orphans = rows.where("_orphan").select(F.col("id").alias("recording_id"))
     latest = F.max_by("id", F.struct("updated_at", "created_at", "id"))
     queued = jobs.where("status = 'queued'").join(orphans, "recording_id", "left_semi").groupBy("recording_id").agg(latest.alias("id"))
     failed = late.select("id").union(queued.select("id")).withColumn("recovered", F.lit(True))
     out = jobs.join(failed, "id", "left").withColumn("recovered", F.col("recovered").isNotNull())
     out = out.withColumns({"status": F.when(F.col("recovered"), "failed").otherwise(F.col("status")), "error": F.when(F.col("recovered"), ERROR)})
-    rows = rows.join(orphans.select(F.col("recording_id").alias("id"), F.lit(True).alias("_orphan")), "id", "left")
-    rows = rows.withColumn("recovered", F.col("_stale") | F.col("_orphan").isNotNull()).drop("_stale", "_orphan")
+    rows = rows.withColumn("recovered", F.col("_stale") | F.col("_orphan")).drop("_stale", "_orphan")
     return out, rows.withColumns({"status": F.when(F.col("recovered"), "NeedsReview").otherwise(F.col("status")), "review_reason_code": F.when(F.col("recovered"), REASON)})

@@ -10,6 +10,7 @@ from colloquy.functions.asof import as_of
 from colloquy.functions.intervals import holders
 from colloquy.llm import lm_scoring
 from colloquy.operators import calendar, claims, diarization, folding, text, turns
+from colloquy.streaming import reaper
 
 CAPTURE, EVENT = "recording_id long, captured_ms long, duration_sec double", "event_id string, starts_ms long, ends_ms long"
 
@@ -184,3 +185,20 @@ def test_language_model_learns_from_every_run(spark, monkeypatch):
     lm_scoring.fit_attention(None, counts, "")
     (share, slices), steps = asked[0], asked[1:]
     assert share == 1.0 and set(steps) == set(range(slices))
+
+
+def test_reaper_joins_recordings_with_flags_of_their_jobs_alone(spark):
+    rng = random.Random(13)
+    time = lambda: rng.choice([None, 1, 4, 5, 9])
+    jobs = [(i, rng.randrange(40), rng.choice(["queued", "queued", "started", "finished", None]), time(), rng.randrange(9), rng.randrange(9)) for i in range(90)]
+    recordings = [(i, rng.choice([*reaper.STALE_FROM, "Ready"]), rng.choice([2, 8, None])) for i in range(36)]
+    frames = spark.createDataFrame(jobs, "id long, recording_id long, status string, started_at long, updated_at long, created_at long"), spark.createDataFrame(recordings, "id long, status string, updated_at long")
+    out, after = reaper.reap(*frames, F.lit(5))
+    late = {j[0] for j in jobs if j[2] == "started" and j[3] is not None and j[3] < 5 and j[1] < 36}
+    running = {j[1] for j in jobs if j[2] == "started" and j[0] not in late}
+    stale = {r[0] for r in recordings if r[1] in reaper.STALE_FROM and r[0] not in running and any(j[0] in late and j[1] == r[0] for j in jobs)}
+    orphans = {r[0] for r in recordings if r[1] in reaper.ORPHAN_FROM and r[2] == 2 and r[0] not in running | stale}
+    queued = {max((j for j in jobs if j[1] == k and j[2] == "queued"), key=lambda j: (j[4], j[5], j[0]), default=(None,))[0] for k in orphans} - {None}
+    assert orphans and queued and {r["id"] for r in after.where("recovered").collect()} == stale | orphans
+    assert {r["id"] for r in out.where("recovered").collect()} == late | queued and after.count() == 36 and out.count() == 90
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
