@@ -167,10 +167,14 @@ def set_postings(sets: DataFrame, percent: int) -> DataFrame:
     return rare_postings(rows, F.col("n"), F.ceil(F.col("n") * percent / 100))
 
 
+def bit_place(column: str) -> Column:
+    """The place of an id's bit in ``bitmap``."""
+    return F.pmod(F.coalesce(F.xxhash64(column), F.lit(0)), F.lit(FILTER_BITS))
+
+
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """A bit for the hash of every id, as FILTER_BITS / 64 words."""
-    place = F.pmod(F.coalesce(F.xxhash64(column), F.lit(0)), F.lit(FILTER_BITS))
-    words = ids.select((place / 64).cast("int").alias("at"), F.expr("shiftleft(1L, int(pmod(coalesce(xxhash64(%s), 0), 64)))" % column).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    words = ids.select((bit_place(column) / 64).cast("int").alias("at"), F.expr("shiftleft(1L, int(pmod(coalesce(xxhash64(%s), 0), 64)))" % column).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words.collect():
         out[r["at"]] = r["bits"]
@@ -181,7 +185,7 @@ def full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(node, hashes): the full sets of the wanted nodes (node, rep), from another pass over their texts.
 
     A fixed-size bitmap keeps most other texts out of the shuffle; it only saves work, the join
-    decides.
+    decides. Sets travel once: nodes are joined and repeated ones dropped in the same partitions.
     """
     bits = bitmap(wanted, "rep")
 
@@ -192,12 +196,10 @@ def full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 sets = [shingle_set(t, words) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
 
-    place = F.pmod(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.lit(FILTER_BITS)).alias("place")
-    found = rows.select("doc_id", "text", place).mapInArrow(some, "rep long, node long, hashes binary")
-    same = (F.col("found.node") == F.col("w.node")) & F.col("found.rep").eqNullSafe(F.col("w.rep"))
-    return found.alias("found").join(wanted.alias("w"), same, "left_semi").select("node", "hashes").dropDuplicates(["node"])
+    found = rows.select("doc_id", "text", bit_place("doc_id").alias("place")).mapInArrow(some, "node long, hashes binary")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def estimate(k: int) -> Column:

@@ -8,8 +8,8 @@ fixed size.
 1. If two sets are within the similarity, then in EVERY order they share a token of their
    prefixes, the first n - ceil(percent * n) + 1 tokens. Inverted lists of the first order's prefixes
    bring nodes together.
-2. A list's members meet hubs of like size in place of each other. A pair goes on only if its prefixes
-   share a token under all orders, and links are confirmed on the full sets.
+2. A list's members meet hubs of like size in place of each other. A pair goes on only if the parity sketches of
+   its sets differ in no more bits than sets within the similarity can differ in tokens, and links are confirmed on the full sets.
 3. What is left are lists that still hold several components. Members of short ones meet there. Members of long
    ones meet in the second order's lists instead, made for them alone, and those of long lists among these in the third
    order's: a link is in the lists of every order. All pairs of different components that meet, of sizes and places that allow it,
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import drop_written, id_text, map_batches, sliced, written
 from colloquy.llm.components import connected_components
-from colloquy.llm.near_duplicates import HUBS, SHORT_LIST, confirmed, full_sets, hub_pairs, mixed, open_members, remaining_pairs, set_hash, shingle_set, shingles, with_components
+from colloquy.llm.near_duplicates import HUBS, SHORT_LIST, bit_place, bitmap, confirmed, full_sets, hub_pairs, mixed, open_members, remaining_pairs, set_hash, shingle_set, shingles, with_components
 
 #: Of each order the number that its hashes start from. The first order makes the lists.
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
@@ -43,7 +43,9 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 COUNTERS, CHUNK = 1 << 24, 1 << 16
 #: Parts of the input that fill one table.
 PARTS = 8
-PREFIXED = "doc_id long, n_shingles long, node long, first array<long>, second array<int>, third array<int>"
+#: Bits of a parity sketch. Sets of up to about 9,000 shingles can differ in more bits than the similarity allows.
+PARITIES = 2048
+PREFIXED = "doc_id long, n_shingles long, node long, first array<long>, second array<int>, third array<int>, parity array<long>"
 
 
 def frequency_classes(rows: DataFrame, words: int) -> np.ndarray:
@@ -98,9 +100,15 @@ def prefix(values: np.ndarray, classes: np.ndarray, percent: int, start: int) ->
     return values[np.argsort(rank, kind="stable")][:size]
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """Of each of PARITIES classes of hashes whether the set holds an odd number. Two sets differ in at least as many tokens as their sketches in bits."""
+    odd = np.bincount(values.view(np.uint64) >> np.uint64(64 - PARITIES.bit_length() + 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefixes(rows: DataFrame, words: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """Size, hash and prefixes of every document's set. Only the first order's prefix is kept in full; of the others 32 bits
-    of each token, as they but filter."""
+    """Size, hash, prefixes and parity sketch of every document's set. Only the first order's prefix is kept in full; of the others
+    32 bits of each token: where two tokens share them, lists get longer, not wrong."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, words) for t in batch["text"].to_pylist()]
@@ -108,8 +116,8 @@ def prefixes(rows: DataFrame, words: int, percent: int, classes: np.ndarray) ->
         first, second, third = ([prefix(s, c, percent, start) for s, c in zip(sets, of, strict=True)] for start in ORDERS)
         short = [pa.array([p.astype(np.int32) for p in ps], pa.list_(pa.int32())) for ps in (second, third)]
         return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), *short],
-            ["doc_id", "n_shingles", "node", "first", "second", "third"],
+            [batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) for s in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), *short, pa.array([parity(s) for s in sets], pa.list_(pa.int64()))],
+            ["doc_id", "n_shingles", "node", "first", "second", "third", "parity"],
         )
 
     return map_batches(rows, one, PREFIXED)
@@ -126,14 +134,22 @@ def lists(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def in_all_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose prefixes share a token under every order."""
-    orders = ("first", "second", "third")
+def near_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parity sketches don't rule the similarity out; no pair within it is dropped.
+
+    A bitmap of fixed size keeps nodes without pairs out of the shuffle; it only saves work, the joins decide.
+    """
+    bits = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch["place"].to_numpy()
+        return batch.select(["node", "n", "parity"]).filter(pa.array((bits[at >> 6] >> (at & 63)) & 1 == 1))
+
+    held = map_batches(nodes.select("node", "n", "parity", bit_place("node").alias("place")), some, "node long, n long, parity array<long>", 8192)
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(o).alias(f"{o}_{side}") for o in orders]), side)
-    for o in orders:
-        pairs = pairs.where(F.arrays_overlap(f"{o}_a", f"{o}_b"))
-    return pairs.select("a", "b")
+        pairs = pairs.join(held.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")), side)
+    differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return pairs.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b")
 
 
 def lists_of(nodes: DataFrame, wanted: DataFrame, order: str) -> DataFrame:
@@ -155,7 +171,7 @@ def linked_nodes(rows: DataFrame, postings: DataFrame, nodes: DataFrame, words:
         nonlocal links, tested, components
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        near = written(in_all_orders(pairs, nodes), "near")
+        near = written(near_pairs(pairs, nodes, percent), "near")
         if near.isEmpty():
             return
         wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
@@ -189,10 +205,10 @@ def ngram_join(
     rows = id_text(docs, id_col, text_col)
     held = written(prefixes(rows, words, percent, frequency_classes(rows, words)), "prefixes")
     nodes = held.where("node IS NOT NULL").groupBy("node")
-    nodes = nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "first", "second", "third")])
+    nodes = nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c if c != "n_shingles" else "n") for c in ("n_shingles", "first", "second", "third", "parity")])
     nodes = written(nodes, "nodes")
     postings = lists(nodes)
-    sharing = written(nodes.select("node", "rep", "n", "first", "second", "third").join(postings.select("node").distinct(), "node", "left_semi"), "sharing")
+    sharing = written(nodes.select("node", "rep", "n", "second", "third", "parity").join(postings.select("node").distinct(), "node", "left_semi"), "sharing")
     components = linked_nodes(rows, postings, sharing, words, percent)
     named = nodes.select("node", "rep")
     if components is not None:
