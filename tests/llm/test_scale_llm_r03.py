@@ -23,7 +23,7 @@ def test_parity_sketches_never_rule_out_a_link():
 
 
 def test_sets_of_distant_pairs_are_not_fetched(spark, monkeypatch):
-    """Texts with a common rare passage share prefix tokens under every order; only near ones have their full sets shuffled."""
+    """Of texts around a common passage only near ones have their full sets shuffled."""
     draw, fetched = random.Random(11), []
     passage = [f"p{k}" for k in range(60)]
     rows = [" ".join(passage + [f"r{draw.randrange(10**9)}" for _ in range(60)]) for _ in range(20)]
