@@ -68,6 +68,11 @@ def drop_written(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many small rows: one for ``each`` of them, but at least two for every core, whatever the number of shuffle partitions."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)

@@ -1,46 +1,87 @@
-"""Connected components of a graph of links, by alternating large and small stars."""
+"""Connected components of a graph of links, by contraction in the tasks and one shuffle of labels a round."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import drop_written, written
+from colloquy.llm.common import drop_written, tasks_for, written
 
-#: Parts into which the edges of a node are dealt where they meet the node's least neighbour, lest a large star is one task.
+#: Parts into which the neighbours of a node are dealt where they learn its label, lest a large star is one task.
 SALTS = 4
+#: Links that a task holds before it contracts them; beyond, it holds a label for each of its nodes.
+LINKS = 1 << 18
+#: Labels for which a round has a task, beyond two for every core: few of them aren't worth a task for each shuffle partition.
+ROWS = 100_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, each with the least node that these links reach from it."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])  # a root is hung on the least of those that it meets
+        while (further := label[label] != label).any():
+            label[further] = label[label[further]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """(node, component): each task's links (u, v) as labels within the task, a row for each of its nodes."""
 
+    def contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most = [], 0, LINKS
+        for b in batches:
+            held.append((b["u"].to_numpy(), b["v"].to_numpy()))
+            n += b.num_rows
+            if n > most:
+                held = [least_labels(*map(np.concatenate, zip(*held, strict=True)))]
+                n = len(held[0][0])
+                most = max(LINKS, 2 * n)
+        if n:
+            nodes, labels = least_labels(*map(np.concatenate, zip(*held, strict=True)))
+            for at in range(0, len(nodes), LINKS):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + LINKS]), pa.array(labels[at : at + LINKS])], ["node", "component"])
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return links.select("u", "v").mapInArrow(contract, "node long, component long")
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges (u, v) with the value ``m`` of their ``u``; the edges of one ``u`` lie in SALTS parts."""
-    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(dealt, ["u", "salt"]).drop("salt")
+def _fingerprint(labels: DataFrame) -> tuple:
+    return tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("node", "component").cast("decimal(38,0)"))).first())
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``links`` that has a link; a component is its least node.
 
-    Each round hangs nodes on smaller ones and is written to the shared folder; the number of
-    rounds grows with the logarithm of the longest chain. Nothing but two numbers of each round
-    comes to the driver.
+    In each round a label goes to the node that it names, and a node's own labels to all parts of those that it names:
+    what meets in a task is contracted there. A node has one label a task at most, and of those that name a node
+    a SALTS-th meets in one task. The rounds grow with the logarithm of the longest chain. Nothing but two numbers of each
+    round comes to the driver.
     """
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = written(edges, "edges")
-    before = _fingerprint(edges)
+    edges = links.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    spark, n = links.sparkSession, links.count()
+    labels = written(_contracted(edges).distinct().coalesce(tasks_for(spark, n, ROWS)), "labels")
+    before = _fingerprint(labels)
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     while before[0]:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        previous, edges = edges, written(small.union(least).distinct(), "edges")
+        pairs = labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        own = F.transform(every, lambda s: F.struct(F.col("u").alias("to"), s.cast("long").alias("salt")))
+        named = F.array(F.struct(F.col("v").alias("to"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).alias("salt")))
+        sent = pairs.select("u", "v", F.explode(F.concat(own, named)).alias("x")).select("u", "v", "x.to", "x.salt")
+        n = tasks_for(spark, before[0], ROWS)
+        previous, labels = labels, written(_contracted(sent.repartition("to", "salt").coalesce(n)).distinct().coalesce(n), "labels")
         drop_written(previous)
-        after = _fingerprint(edges)
+        after = _fingerprint(labels)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+    return labels

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import drop_written, id_text, map_batches, written
+from colloquy.llm.common import drop_written, id_text, map_batches, tasks_for, written
 from colloquy.llm.components import connected_components
 
 SKETCHES = "doc_id long, n_shingles long, node long, sketch array<long>"
@@ -44,6 +44,8 @@ PART = 1 << 20
 SHORT_LIST = 48
 #: Of the second round: hubs of each class of sizes in a longer list, and lists in which a node meets them, its longest.
 HUBS, LISTS = 16, 4
+#: Pairs for which a task confirms links, beyond two tasks for every core.
+PAIRS = 2000
 #: Bits of the filter that keeps texts without candidates out of the second pass; 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -182,7 +184,7 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, hashes): the full sets of the wanted nodes (node, rep), from another pass over their texts.
+    """(node, hashes): the full sets of the wanted nodes (node, rep; rows may repeat), from another pass over their texts.
 
     A fixed-size bitmap keeps most other texts out of the shuffle; it only saves work, the join
     decides. Sets travel once: nodes are joined and repeated ones dropped in the same partitions.
@@ -209,16 +211,17 @@ def estimate(k: int) -> Column:
 
 
 def estimated(pairs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches don't rule the similarity out: five standard deviations below it."""
+    """The pairs (a, b) whose sketches don't rule the similarity out, five standard deviations below it, with both nodes' ``rep``."""
     chance = percent / 100
     least = chance - 5 * (chance * (1 - chance) / k) ** 0.5
     for side in ("a", "b"):
-        pairs = pairs.join(sketched.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.where(estimate(k) >= least).select("a", "b")
+        pairs = pairs.join(sketched.select(F.col("node").alias(side), F.col("rep").alias(f"rep_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.where(estimate(k) >= least).select("a", "b", "rep_a", "rep_b")
 
 
 def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are within the similarity."""
+    count = near.count()
     for side in ("a", "b"):
         near = near.join(sets.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}")), side)
 
@@ -230,7 +233,8 @@ def confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
         return pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return map_batches(near.select("a", "b", "hashes_a", "hashes_b"), verify, "a long, b long")
+    tasks = tasks_for(near.sparkSession, count, PAIRS)
+    return map_batches(near.select("a", "b", "hashes_a", "hashes_b").coalesce(tasks), verify, "a long, b long")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -294,30 +298,28 @@ def remaining_pairs(rest: DataFrame, percent: int, size: Column | None = None, b
 
 def linked_nodes(rows: DataFrame, postings: DataFrame, sketched: DataFrame, words: int, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes that are linked with others."""
-    links = tested = components = None
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return written(full_sets(rows, sketched.select("node", "rep").join(nodes.distinct(), "node", "left_semi"), words), "sets")
+    tested = components = None
 
     def confirm(pairs: DataFrame) -> None:
-        """Add the pairs that are links, and work out the components anew."""
-        nonlocal links, tested, components
+        """Unite the components that the links among the pairs tie together."""
+        nonlocal tested, components
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         near = written(estimated(pairs, sketched, k, percent), "near")
         if near.isEmpty():
             return
-        sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")))
+        wanted = near.select(F.col("a").alias("node"), F.col("rep_a").alias("rep")).union(near.select("b", "rep_b"))
+        sets = written(full_sets(rows, wanted, words), "sets")
         new = written(confirmed(near, sets, percent), "links")
         drop_written(near, sets)
-        links = new if links is None else links.union(new)
-        components = written(connected_components(links), "components")
+        components = connected_components(new if components is None else new.union(components))
 
     confirm(hub_pairs(with_components(postings, None), percent, 1))
     members = open_members(postings, components)
     confirm(hub_pairs(members.where(F.col("m") > SHORT_LIST), percent, HUBS))
     rest = open_members(members.drop("component", "m"), components)
-    sets = sets_of(rest.where(F.col("m") > SHORT_LIST).select("node"))
+    longer = rest.where(F.col("m") > SHORT_LIST).select("node")
+    sets = written(full_sets(rows, sketched.select("node", "rep").join(longer, "node", "left_semi"), words), "sets")
     exact = open_members(set_postings(sets, percent), components)
     drop_written(members, sets)
     pairs = remaining_pairs(rest.where(F.col("m") <= SHORT_LIST), percent, F.least("n", F.lit(k)), shared_values(k, percent))
