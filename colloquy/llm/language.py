@@ -151,8 +151,8 @@ def chunked(texts: list[bytes], core: int, context: int) -> tuple[np.ndarray, np
     return rows, owner, lengths
 
 
-def pooled(network: Network, texts: list[bytes], core: int, context: int, batch: int = 2048) -> np.ndarray:
-    """Mean probabilities of each text's positions; zeros for an empty one."""
+def pooled(network: Network, texts: list[bytes], core: int, context: int, batch: int = 1024) -> np.ndarray:
+    """Mean probabilities of each text's positions; zeros for an empty one. ``batch`` chunks at a time take some 50 MB."""
     rows, owner, lengths = chunked(texts, core, context)
     total = np.zeros((len(texts), len(network.languages)))
     # chunks of a length run together, so that short texts don't wait for padding

@@ -43,7 +43,7 @@ from colloquy.llm.common import bounded_sample, held_out, id_text, isotonic, map
 
 BLANKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Words of a window, and windows that are compressed at a time.
-WORDS, AT_ONCE = 2, 200_000
+WORDS, AT_ONCE = 2, 50_000
 #: Gaps, in bytes, of which one is chosen to count as a hit.
 GRID = (3, 4, 5, 6, 7, 8)
 #: Characters of a segment.

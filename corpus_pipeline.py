@@ -1,6 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Rows with a
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The classifiers' stages write
+their result themselves, as Python then gets batches of 8 MB, not of 10,000 texts (``common.WHILE_WRITTEN``). Rows with a
 null doc_id pass every filtering stage that isn't decided by their text alone.
 """
 
@@ -19,12 +20,12 @@ from colloquy.llm.toxicity import drop_toxic, fit_toxicity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; learned from the labels outside their held-out fold."""
-    return drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return written(drop_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))), "stage-toxicity")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a determinable language go; learned from those outside the held-out fold."""
-    return drop_undetermined(docs, fit_language(docs))
+    return written(drop_undetermined(docs, fit_language(docs)), "stage-language")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if hasattr(docs, "written_to") else written(docs, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
