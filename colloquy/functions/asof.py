@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.functions.lineage import cut
+
 BUCKET = 600_000
 
 
@@ -51,3 +53,11 @@ def running_total(df: DataFrame, by: Sequence[str], *, at: str, value: str, out:
     cells = cells.select(*cell, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
     rows = rows.withColumn("_here", F.coalesce(F.sum(value).over(before), F.lit(0))).join(cells, cell)
     return rows.select(*df.columns, (F.col("_here") + F.col("_carried")).alias(out))
+
+
+def holding(points: DataFrame, spans: DataFrame, by: Sequence[str], *, at: str, out: str) -> DataFrame:
+    """``points`` with the sum of ``n`` over their group's spans (low, high, n) that hold ``at``, ends included; 0 without any."""
+    edges = F.array(F.struct(F.col("low").alias("_edge"), F.col("n").alias("_n")), F.struct((F.col("high") + 1).alias("_edge"), (-F.col("n")).alias("_n")))
+    edges = spans.select(*by, F.explode(edges).alias("_e")).groupBy(*by, F.col("_e._edge").alias("_edge")).agg(F.sum("_e._n").alias("_n"))
+    marks = running_total(edges, by, at="_edge", value="_n", out="_upto").select(*by, F.col("_edge").alias(at), (F.col("_upto") + F.col("_n")).alias("_upto"))
+    return as_of(points, cut(marks), by, at=at, value="_upto", out=out).fillna(0, [out])
