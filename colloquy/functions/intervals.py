@@ -43,6 +43,7 @@ def islands(
     gap: int = 0,
     same: Sequence[str] = (),
     bucket: int = 3_600_000,
+    cell: str | None = None,
 ) -> DataFrame:
     """Add ``island`` and ``prev_end``: rows of a group in order, cut where a gap or a change is.
 
@@ -52,44 +53,43 @@ def islands(
     earlier end of the run, null for its first row.
 
     A group may hold any share of the rows: they are windowed in ``bucket``s of time, and only
-    one summary row of each bucket meets those of the whole group.
+    one summary row of each bucket meets those of the whole group. ``cell`` names a column for the group's columns and the number
+    of the bucket; rows come back dealt by it.
     """
     if order[0] != start:
         raise ValueError("order must begin with start")
-    key = F.struct(*same) if same else F.lit(True)
-    cell = [*by, "_bucket"]
-    rows = df.withColumn("_bucket", F.floor(F.col(start) / bucket)).withColumn("_same", key)
-    w = Window.partitionBy(*cell).orderBy(*order)
+    rows = df.withColumn("_bucket", F.floor(F.col(start) / bucket)).withColumn("_same", F.struct(*same) if same else F.lit(True))
+    rows = rows.withColumn("_cell", F.struct(*by, "_bucket"))  # one key, never null: rows stay where they are for windows and joins
+    group = [F.col("_cell").getField(c) for c in by]
+    w = Window.partitionBy("_cell").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     changed = F.coalesce(~F.lag("_same").over(w).eqNullSafe(F.col("_same")) & (F.row_number().over(w) > 1), F.lit(False))
     rows = rows.withColumn("_changed", changed).withColumn("_run", F.sum(F.col("_changed").cast("long")).over(upto))
-    in_run = Window.partitionBy(*cell, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    in_run = Window.partitionBy("_cell", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.max(end).over(in_run))
 
-    runs = rows.groupBy(*cell, "_run").agg(F.max(end).alias("_top"), F.first("_same").alias("_same"))
-    cells = runs.groupBy(*cell).agg(F.max("_run").alias("_changes"), F.max_by("_top", "_run").alias("_tail"), F.min_by("_same", "_run").alias("_first"), F.max_by("_same", "_run").alias("_last"))
-    v = Window.partitionBy(*by).orderBy("_bucket")
+    runs = rows.groupBy("_cell", "_run").agg(F.max(end).alias("_top"), F.first("_same").alias("_same"))
+    cells = runs.groupBy("_cell").agg(F.max("_run").alias("_changes"), F.max_by("_top", "_run").alias("_tail"), F.min_by("_same", "_run").alias("_first"), F.max_by("_same", "_run").alias("_last"))
+    v = Window.partitionBy(*group).orderBy("_cell._bucket")
     all_before = v.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = F.when(F.row_number().over(v) == 1, 0).otherwise((~F.lag("_last").over(v).eqNullSafe(F.col("_first"))).cast("long"))
     cells = cells.withColumn("_edge", edge)
     cells = cells.withColumn("_head_run", F.sum(F.col("_edge") + F.col("_changes")).over(all_before) - F.col("_changes"))
     cells = cells.withColumn("_tail_run", F.col("_head_run") + F.col("_changes"))
-    in_tail = Window.partitionBy(*by, "_tail_run").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_tail = Window.partitionBy(*group, "_tail_run").orderBy("_cell._bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = cells.withColumn("_tail", F.max("_tail").over(in_tail))
     carried = F.when(F.lag("_tail_run").over(v) == F.col("_head_run"), F.lag("_tail").over(v))
-    cells = cells.select(*cell, carried.alias("_carried"))
+    cells = cells.select("_cell", carried.alias("_carried"))
 
-    same_cell = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in cell])
-    rows = rows.alias("r").join(cells.alias("c"), same_cell, "left").select("r.*", "c._carried")
+    rows = rows.join(cells, "_cell", "left")
     prev_end = F.when(F.col("_run") == 0, F.greatest("_before", "_carried")).otherwise(F.col("_before"))
     rows = rows.withColumn("prev_end", prev_end)
     rows = rows.withColumn("_new", (F.col("prev_end").isNull() | (F.col(start) > F.col("prev_end") + gap)).cast("long"))
     rows = rows.withColumn("_nth", F.sum("_new").over(upto))
-    news = rows.groupBy(*cell).agg(F.sum("_new").alias("_news"))
+    news = rows.groupBy("_cell").agg(F.sum("_new").alias("_news"))
     earlier = F.coalesce(F.sum("_news").over(v.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    news = news.select(*cell, earlier.alias("_earlier"))
-    rows = rows.alias("r").join(news.alias("c"), same_cell, "left").select("r.*", "c._earlier")
-    return rows.withColumn("island", F.col("_nth") + F.col("_earlier")).drop(*[c for c in rows.columns if c.startswith("_")], "_earlier")
+    rows = rows.join(news.select("_cell", earlier.alias("_earlier")), "_cell", "left")
+    return rows.select(*df.columns, "prev_end", (F.col("_nth") + F.col("_earlier")).alias("island"), *([F.col("_cell").alias(cell)] if cell else []))
 
 
 def coalesced(df: DataFrame, by: Sequence[str], *, start: str = "start_ms", end: str = "end_ms", drop_empty: bool = True) -> DataFrame:
